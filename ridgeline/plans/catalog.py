@@ -1,3 +1,4 @@
 """Import every query module so their queries register."""
 
 from ridgeline.plans import q_core  # noqa: F401
+from ridgeline.plans import q_clean  # noqa: F401

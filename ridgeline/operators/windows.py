@@ -243,3 +243,45 @@ def first_n_flags(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: i
     w = Window.partitionBy(*keys).orderBy(*order)
     return (df.select(*keys, *id_cols, F.row_number().over(w).alias("_rn"))
               .filter(F.col("_rn") <= n).drop("_rn"))
+
+
+def cadence_snapshots(df: DataFrame, keys: Sequence[str], cadences: Sequence[int] = (2, 5, 10),
+                      ts: str = "ts", tie: str = "seq") -> DataFrame:
+    """First point of each aligned k-minute window per key, for several
+    cadences (hash aggregate with ``min_by``; no sort)."""
+    parts = []
+    for k in cadences:
+        win = F.window(ts, f"{k} minutes")
+        parts.append(df.groupBy(*keys, win.start.alias("window_start"))
+                       .agg(F.min_by(F.col(tie), F.struct(F.col(ts), F.col(tie))).alias(tie),
+                            F.count(F.lit(1)).alias("n_points"))
+                       .select(F.lit(k).alias("cadence_minutes"), *keys, "window_start", tie, "n_points"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def time_split(df: DataFrame, order: Sequence[str], folds: int = 3) -> DataFrame:
+    """Expanding-window folds over the global time order.
+
+    Adds ``fold`` and ``role`` ('train' / 'test'): with n rows and
+    ``test_size = n // (folds + 1)``, fold i tests on positions
+    [(i+1)*test_size, (i+2)*test_size) and trains on everything before.
+    A row appears once per fold that uses it.  Positions come from the
+    range-partitioned global index (no single-task sort)."""
+    from ridgeline.plans.halo import global_positions
+    pos = global_positions(df, [], order)
+    n = pos.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    ts_size = n // (folds + 1)
+    fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    x = pos.withColumn("fold", fold)
+    x = x.filter(F.col("_gpos") < (F.col("fold") + 2) * ts_size)
+    role = F.when(F.col("_gpos") < (F.col("fold") + 1) * ts_size, "train").otherwise("test")
+    return x.withColumn("role", role).drop("_gpos")
+
+
+def time_split_summary(df: DataFrame, order: Sequence[str], folds: int = 3, ts: str = "ts") -> DataFrame:
+    s = time_split(df, order, folds)
+    return s.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.min(ts).alias("first_ts"),
+                                         F.max(ts).alias("last_ts"))

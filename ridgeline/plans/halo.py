@@ -98,27 +98,26 @@ def row_windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str],
              .filter(~F.col("_halo")).drop("_halo"))
 
 
-def time_chunks(df: DataFrame, ts: str, bucket: str, lookback_seconds: int,
+def time_chunks(df: DataFrame, bucket_seconds: int, lookback_seconds: int,
                 lookahead_seconds: int = 0) -> DataFrame:
-    """Time buckets with halo copies: ``_tb`` (bucket start) and ``_halo``.
-
-    A row is copied into every later bucket whose start lies within
-    ``lookback_seconds`` after it (and every earlier bucket whose end lies
-    within ``lookahead_seconds`` before it), so range frames evaluated per
-    (key, _tb) equal the global ones.
-    """
-    start = F.window(ts, bucket).start
-    width = F.window(ts, bucket).end - start
-    main = df.withColumn("_tb", start).withColumn("_halo", F.lit(False))
-    parts = [main]
+    """Time buckets with halo copies over the microsecond epoch ``_us``:
+    adds ``_tb`` (bucket number) and ``_halo``.  A row is copied into the
+    next bucket when it lies within ``lookback_seconds`` of that bucket's
+    start (and into the previous one when within ``lookahead_seconds`` of its
+    own bucket start), so range frames evaluated per (key, _tb) equal the
+    global ones.  Requires look-back/-ahead <= bucket width."""
+    if lookback_seconds > bucket_seconds or lookahead_seconds > bucket_seconds:
+        raise ValueError("halo wider than a bucket: raise bucket_seconds")
+    width = bucket_seconds * 1_000_000
+    tb = F.floor(F.col("_us") / F.lit(width))
+    parts = [df.withColumn("_tb", tb).withColumn("_halo", F.lit(False))]
     if lookback_seconds > 0:
-        nxt = start + width
-        cond = F.col(ts) >= nxt - F.make_dt_interval(secs=F.lit(lookback_seconds))
-        parts.append(df.filter(cond).withColumn("_tb", nxt).withColumn("_halo", F.lit(True)))
+        nxt_start = (tb + 1) * width
+        parts.append(df.filter(F.col("_us") >= nxt_start - lookback_seconds * 1_000_000)
+                       .withColumn("_tb", tb + 1).withColumn("_halo", F.lit(True)))
     if lookahead_seconds > 0:
-        prv = start - width
-        cond = F.col(ts) < start + F.make_dt_interval(secs=F.lit(lookahead_seconds))
-        parts.append(df.filter(cond).withColumn("_tb", prv).withColumn("_halo", F.lit(True)))
+        parts.append(df.filter(F.col("_us") < tb * width + lookahead_seconds * 1_000_000)
+                       .withColumn("_tb", tb - 1).withColumn("_halo", F.lit(True)))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -126,17 +125,17 @@ def time_chunks(df: DataFrame, ts: str, bucket: str, lookback_seconds: int,
 
 
 def time_windowed(df: DataFrame, keys: Sequence[str], ts: str, build: Callable[[object], list[Column]],
-                  lookback_seconds: int, lookahead_seconds: int = 0, bucket: str = "1 day",
+                  lookback_seconds: int, lookahead_seconds: int = 0, bucket_seconds: int = 86_400,
                   tiebreak: Sequence[str] = ()) -> DataFrame:
     """Range-frame window features per key, evaluated per time bucket with halo.
 
     ``build(w)`` gets a spec partitioned by (keys, bucket) ordered by the
     microsecond epoch ``_us`` (range frames in microseconds) and returns named
-    Columns.  The bucket must be at least as wide as the look-back/-ahead.
+    Columns.  A task holds one key's bucket plus its halo, never a whole key.
     """
     base_cols = df.columns
     d = df.withColumn("_us", epoch_micros(ts))
-    u = time_chunks(d, ts, bucket, lookback_seconds, lookahead_seconds)
+    u = time_chunks(d, bucket_seconds, lookback_seconds, lookahead_seconds)
     w = Window.partitionBy(*keys, "_tb").orderBy("_us", *tiebreak)
     return (u.select(*base_cols, "_halo", *build(w))
              .filter(~F.col("_halo")).drop("_halo"))
@@ -148,3 +147,43 @@ def epoch_micros(ts: str | Column) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                             c.cast("timestamp_ntz"))
+
+
+def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+                 chunk_rows: int = DEFAULT_CHUNK_ROWS, backward_after: bool = False,
+                 zero: bool = False, partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+    """W14 on the chunked plan: last non-null value so far per key.
+
+    Pass 1 fills inside each (key, chunk); the carry from earlier chunks
+    comes from a table with one row per (key, chunk) (``rows / chunk_rows``
+    rows), windowed per key and joined back.  ``backward_after`` then fills
+    the leading nulls of each key with its first non-null value (a per-key
+    aggregate).  Output has the input columns with ``cols`` filled.
+    """
+    base_cols = df.columns
+    pos = global_positions(df, keys, order, partitions, checkpoint)
+    d = pos.withColumn("_chunk", F.floor(F.col("_gpos") / F.lit(chunk_rows)))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_gpos").rowsBetween(Window.unboundedPreceding, 0)
+    local = d.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_ff_{c}") for c in cols])
+    tail = d.groupBy(*keys, "_chunk").agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_gpos"))).alias(f"_t_{c}") for c in cols])
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tail.select(*keys, "_chunk", *[F.last(f"_t_{c}", ignorenulls=True).over(wc).alias(f"_c_{c}") for c in cols])
+    j = local.join(carry, [*keys, "_chunk"], "left")
+    out_cols = []
+    for c in base_cols:
+        if c in cols:
+            v = F.coalesce(F.col(f"_ff_{c}"), F.col(f"_c_{c}"))
+            out_cols.append(v.alias(c))
+        else:
+            out_cols.append(F.col(c))
+    res = j.select(*out_cols)
+    if backward_after:
+        first = df.groupBy(*keys).agg(*[
+            F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order])))
+             .alias(f"_b_{c}") for c in cols])
+        res = res.join(first, list(keys), "left").select(
+            *[F.coalesce(F.col(c), F.col(f"_b_{c}")).alias(c) if c in cols else F.col(c) for c in base_cols])
+    if zero:
+        res = res.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in cols else F.col(c) for c in base_cols])
+    return res

@@ -161,7 +161,7 @@ SETTINGS = "settings AS (SELECT asset_id, ts, seq, kex, sipx FROM readings WHERE
 PREDS = f"""
 preds AS (SELECT seq, asset_id, ts, h AS horizon,
                  grade + (seq % 7 - 3) / 10.0::DOUBLE + h / 100.0::DOUBLE AS prediction,
-                 ts + to_minutes(h) AS target_ts
+                 ts + to_minutes(h) AS target_ts, grade AS issue_value
           FROM (SELECT *, {O.grade()} AS grade FROM readings WHERE seq % 3 = 0) x,
                (SELECT unnest([5, 15, 30, 60]) AS h) hz)"""
 

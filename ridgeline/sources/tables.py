@@ -91,9 +91,15 @@ def preds(r: DataFrame) -> DataFrame:
         (F.col("grade") + (F.col("seq") % 7 - 3) / F.lit(10.0).cast("double")
          + F.col("horizon") / F.lit(100.0).cast("double")).alias("prediction"),
         (F.col("ts") + F.make_dt_interval(mins=F.col("horizon"))).alias("target_ts"),
+        F.col("grade").alias("issue_value"),
     )
 
 
+def actuals(r: DataFrame) -> DataFrame:
+    """Observed grade per calculated-values row: (asset_id, ts, actual)."""
+    return calc(r).select("asset_id", "ts", F.col("grade").alias("actual"))
+
+
 def settings(r: DataFrame) -> DataFrame:
     """Control-setting changes: every fiftieth reading."""
     return r.filter(F.col("seq") % 50 == 0).select("asset_id", "ts", "seq", "kex", "sipx")

@@ -4,3 +4,4 @@ from ridgeline.plans import q_core  # noqa: F401
 from ridgeline.plans import q_clean  # noqa: F401
 from ridgeline.plans import q_windows  # noqa: F401
 from ridgeline.plans import q_predictions  # noqa: F401
+from ridgeline.plans import q_joins  # noqa: F401

@@ -70,15 +70,22 @@ def reagent_band(kex="kex", sipx="sipx") -> Column:
             .otherwise("normal"))
 
 
-def band_clamp(value, band: Column, which: str) -> Column:
-    """Clamp ``value`` to the band's grade (which='grade') or recovery range."""
+def band_limits(band: Column, which: str) -> tuple[Column, Column]:
+    """(lo, hi) of the band's grade (which='grade') or recovery range."""
     idx = 0 if which == "grade" else 1
-    expr = None
+    lo = hi = None
     for name, limits in BAND_CLAMPS.items():
-        lo, hi = limits[idx]
-        branch = clamp(value, lo, hi)
-        expr = F.when(band == name, branch) if expr is None else expr.when(band == name, branch)
-    return expr
+        a, b = limits[idx]
+        lo = F.when(band == name, F.lit(a)) if lo is None else lo.when(band == name, F.lit(a))
+        hi = F.when(band == name, F.lit(b)) if hi is None else hi.when(band == name, F.lit(b))
+    return lo, hi
+
+
+def band_clamp(value, band: Column, which: str) -> Column:
+    """Clamp ``value`` to the band's grade or recovery range (one clamp, the
+    value expression appears once)."""
+    lo, hi = band_limits(band, which)
+    return F.greatest(lo, F.least(hi, _c(value)))
 
 
 def rescale_prediction(p) -> Column:

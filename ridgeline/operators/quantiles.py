@@ -81,16 +81,23 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 acc += n
             if s["hi"] <= s["lo"]:
                 s["value"] = s["lo"]
-    # fetch the small candidate sets (bounded by COLLECT_LIMIT rows each)
+    # fetch the small candidate sets (each at most COLLECT_LIMIT rows) in one job
     pending = [(k, s) for k, s in searches.items() if s["value"] is None]
-    for key, s in pending:
-        c = key[0]
-        v = F.col(c)
-        cond = v.isNotNull()
-        for lo, hi, b in s["conds"]:
-            cond = cond & (_bin(v, lo, hi) == b)
-        vals = sorted(r[0] for r in df.filter(cond).select(c).collect())
-        s["value"] = vals[key[1] - s["below"]]
+    if pending:
+        items = []
+        for sid, (key, s) in enumerate(pending):
+            v = F.col(key[0])
+            cond = v.isNotNull()
+            for lo, hi, b in s["conds"]:
+                cond = cond & (_bin(v, lo, hi) == b)
+            items.append(F.when(cond, F.struct(F.lit(sid).alias("sid"), v.cast("double").alias("v"))))
+        got: dict[int, list[float]] = {}
+        for row in (df.select(F.explode(F.array(*items)).alias("x")).filter(F.col("x").isNotNull())
+                      .select("x.sid", "x.v").collect()):
+            got.setdefault(row["sid"], []).append(row["v"])
+        for sid, (key, s) in enumerate(pending):
+            vals = sorted(got.get(sid, []))
+            s["value"] = vals[key[1] - s["below"]]
     out: dict[str, list[float | None]] = {}
     for c in cols:
         n = prof[c][0]

@@ -6,3 +6,4 @@ from ridgeline.plans import q_windows  # noqa: F401
 from ridgeline.plans import q_predictions  # noqa: F401
 from ridgeline.plans import q_joins  # noqa: F401
 from ridgeline.plans import q_scenario  # noqa: F401
+from ridgeline.plans import q_select  # noqa: F401

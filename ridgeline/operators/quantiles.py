@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,13 +92,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             for lo, hi, b in s["conds"]:
                 cond = cond & (_bin(v, lo, hi) == b)
             items.append(F.when(cond, F.struct(F.lit(sid).alias("sid"), v.cast("double").alias("v"))))
-        got: dict[int, list[float]] = {}
-        for row in (df.select(F.explode(F.array(*items)).alias("x")).filter(F.col("x").isNotNull())
-                      .select("x.sid", "x.v").collect()):
-            got.setdefault(row["sid"], []).append(row["v"])
+        pdf = (df.select(F.explode(F.array(*items)).alias("x")).filter(F.col("x").isNotNull())
+                 .select("x.sid", "x.v").toPandas())          # Arrow batches, bounded size
         for sid, (key, s) in enumerate(pending):
-            vals = sorted(got.get(sid, []))
-            s["value"] = vals[key[1] - s["below"]]
+            vals = np.sort(pdf.loc[pdf["sid"] == sid, "v"].to_numpy())
+            s["value"] = float(vals[key[1] - s["below"]])
     out: dict[str, list[float | None]] = {}
     for c in cols:
         n = prof[c][0]

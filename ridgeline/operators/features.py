@@ -51,19 +51,27 @@ def catalogue(base: Sequence[str]) -> list[tuple[str, str, str]]:
 
 
 def build_features(df: DataFrame, base: Sequence[str], keys=("asset_id",), order=("ts", "seq"), ts: str = "ts",
-                   target: str | None = None, horizon_rows: int = 1, chunk_rows: int = H.DEFAULT_CHUNK_ROWS) -> DataFrame:
+                   target: str | None = None, horizon_rows: int = 1, chunk_rows: int = H.DEFAULT_CHUNK_ROWS,
+                   horizons: dict[int, int] | None = None) -> DataFrame:
     """Calendar, products, powers and all window features in one
-    chunked window pass; optional ``{target}_ahead`` label (lead)."""
+    chunked window pass; optional labels: ``{target}_ahead`` (lead by
+    ``horizon_rows``) and ``{target}_{h}min_ahead`` for ``horizons``
+    {minutes: rows} (W17)."""
     d = df.select("*", *CAL.time_features(ts), *CAL.interactions(base, N_INTERACT), *CAL.polynomials(base, N_POLY))
+    ahead = [horizon_rows] if target is not None else []
+    if horizons:
+        ahead += list(horizons.values())
 
     def build(w):
         cols = window_features(w, base)
         if target is not None:
             cols.append(F.lead(target, horizon_rows).over(w).alias(f"{target}_ahead"))
+            for h, rows in (horizons or {}).items():
+                cols.append(F.lead(target, rows).over(w).alias(f"{target}_{h}min_ahead"))
         return cols
 
-    return H.row_windowed(d, list(keys), list(order), build, lookback=W.ROLL_ROWS - 1 if max(LAGS) < W.ROLL_ROWS else max(LAGS),
-                          lookahead=horizon_rows if target is not None else 0, chunk_rows=chunk_rows)
+    return H.row_windowed(d, list(keys), list(order), build, lookback=max(W.ROLL_ROWS - 1, max(LAGS), 2),
+                          lookahead=max(ahead) if ahead else 0, chunk_rows=chunk_rows)
 
 
 def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

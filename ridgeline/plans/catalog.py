@@ -8,3 +8,4 @@ from ridgeline.plans import q_joins  # noqa: F401
 from ridgeline.plans import q_scenario  # noqa: F401
 from ridgeline.plans import q_select  # noqa: F401
 from ridgeline.plans import q_ml  # noqa: F401
+from ridgeline.plans import q_stream  # noqa: F401

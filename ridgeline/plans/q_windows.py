@@ -235,7 +235,7 @@ def external_change(spark, sf):
 
 @query("cadence_snapshot", O.with_ctes(R, body=" UNION ALL ".join(f"""
 SELECT {k} AS cadence_minutes, asset_id, time_bucket(INTERVAL {k} MINUTE, ts) AS window_start, arg_min(seq, ts) AS seq, count(*) AS n_points
-FROM readings GROUP BY ALL""" for k in (2, 5, 10))))
+FROM readings GROUP BY asset_id, time_bucket(INTERVAL {k} MINUTE, ts)""" for k in (2, 5, 10))))
 def cadence_snapshot(spark, sf):
     r = T.readings(spark, sf)
     return W.cadence_snapshots(r, KEYS, (2, 5, 10))

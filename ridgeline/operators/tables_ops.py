@@ -76,7 +76,8 @@ def preset_range(df: DataFrame, preset: str = "24h", ts: str = "ts", keys: Seque
     """Rows within a preset span before the newest timestamp (per key)."""
     interval = F.expr(f"INTERVAL {PRESETS[preset]}")
     last = df.groupBy(*keys).agg(F.max(ts).alias("_last")) if keys else df.agg(F.max(ts).alias("_last"))
-    j = df.join(F.broadcast(last), list(keys)) if keys else df.crossJoin(F.broadcast(last))
+    # one row per key: AQE broadcasts it when it is small, else a regular join
+    j = df.join(last, list(keys)) if keys else df.join(F.broadcast(last.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
     return j.filter(F.col(ts) >= F.col("_last") - interval).drop("_last")
 
 

@@ -57,7 +57,6 @@ def build_features(df: DataFrame, base: Sequence[str], keys=("asset_id",), order
     chunked window pass; optional labels: ``{target}_ahead`` (lead by
     ``horizon_rows``) and ``{target}_{h}min_ahead`` for ``horizons``
     {minutes: rows} (W17)."""
-    d = df.select("*", *CAL.time_features(ts), *CAL.interactions(base, N_INTERACT), *CAL.polynomials(base, N_POLY))
     ahead = [horizon_rows] if target is not None else []
     if horizons:
         ahead += list(horizons.values())
@@ -70,8 +69,11 @@ def build_features(df: DataFrame, base: Sequence[str], keys=("asset_id",), order
                 cols.append(F.lead(target, rows).over(w).alias(f"{target}_{h}min_ahead"))
         return cols
 
-    return H.row_windowed(d, list(keys), list(order), build, lookback=max(W.ROLL_ROWS - 1, max(LAGS), 2),
-                          lookahead=max(ahead) if ahead else 0, chunk_rows=chunk_rows)
+    # window pass first on the narrow input (what gets sorted and checkpointed),
+    # row-local features after it: unused ones are pruned by Catalyst
+    win = H.row_windowed(df, list(keys), list(order), build, lookback=max(W.ROLL_ROWS - 1, max(LAGS), 2),
+                         lookahead=max(ahead) if ahead else 0, chunk_rows=chunk_rows)
+    return win.select("*", *CAL.time_features(ts), *CAL.interactions(base, N_INTERACT), *CAL.polynomials(base, N_POLY))
 
 
 def f_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

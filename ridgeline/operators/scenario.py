@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import process as P
+from ridgeline.session import spread
 
 # --- fixed values that must equal the reference's ---------------------------
 CANDIDATES = [(1, 50.0, 30.0), (2, 60.0, 25.0), (3, 40.0, 35.0), (4, 55.0, 28.0),
@@ -55,6 +56,7 @@ def candidate_rows(points: DataFrame, band=GRADE_BAND, with_current: bool = True
     projections keep each formula a column reference instead of a
     re-inlined tree (CollapseProject does not merge projections that would
     duplicate non-trivial expressions), so generated code stays small."""
+    points = spread(points, "seq")
     ck, cs = _current(points)
     rk = F.coalesce(F.col("kex"), F.lit(RAMP_DEFAULT[0]))
     rs = F.coalesce(F.col("sipx"), F.lit(RAMP_DEFAULT[1]))
@@ -106,6 +108,7 @@ def grid_literal() -> Column:
 def scenario_steps(points: DataFrame) -> DataFrame:
     """J5 + F21: one row per (point, candidate, step) with the effective
     settings, grade, recovery and flow (candidate 0 = current setting)."""
+    points = spread(points, "seq")
     ck, cs = _current(points)
     cands = F.array(F.struct(F.lit(0).alias("cand_id"), ck.alias("cand_kex"), cs.alias("cand_sipx")),
                     *[F.struct(F.lit(i).alias("cand_id"), F.lit(k).alias("cand_kex"), F.lit(s).alias("cand_sipx"))
@@ -161,7 +164,7 @@ def multi_horizon_score(points: DataFrame, r2_by_horizon: dict[int, Column], ban
     the band, else max(0, 1 - distance / 5); times 1 - (1 - r2) * 0.3;
     weighted 1/h and summed.  ``r2_by_horizon`` are Columns (joined metrics)."""
     lo, hi = band
-    x = points.select("*", F.inline(grid_literal()))
+    x = spread(points, "seq").select("*", F.inline(grid_literal()))
     pred = P.grade_estimate(F.col("feed_pb"), F.col("cand_kex"), F.col("cand_sipx"), F.col("air_flow"), F.col("level"))
     total = F.lit(0.0)
     for h in MULTI_HORIZONS:

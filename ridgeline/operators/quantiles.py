@@ -82,21 +82,28 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 acc += n
             if s["hi"] <= s["lo"]:
                 s["value"] = s["lo"]
-    # fetch the small candidate sets (each at most COLLECT_LIMIT rows) in one job
+    # fetch the small candidate sets (each at most COLLECT_LIMIT rows) in one
+    # job; searches of one column that share their candidate set share a fetch
     pending = [(k, s) for k, s in searches.items() if s["value"] is None]
     if pending:
+        sets: dict[tuple, int] = {}
+        for key, s in pending:
+            sets.setdefault((key[0], tuple(s["conds"])), len(sets))
         items = []
-        for sid, (key, s) in enumerate(pending):
-            v = F.col(key[0])
+        for (c, conds), sid in sets.items():
+            v = F.col(c)
             cond = v.isNotNull()
-            for lo, hi, b in s["conds"]:
+            for lo, hi, b in conds:
                 cond = cond & (_bin(v, lo, hi) == b)
             items.append(F.when(cond, F.struct(F.lit(sid).alias("sid"), v.cast("double").alias("v"))))
         pdf = (df.select(F.explode(F.array(*items)).alias("x")).filter(F.col("x").isNotNull())
                  .select("x.sid", "x.v").toPandas())          # Arrow batches, bounded size
-        for sid, (key, s) in enumerate(pending):
-            vals = np.sort(pdf.loc[pdf["sid"] == sid, "v"].to_numpy())
-            s["value"] = float(vals[key[1] - s["below"]])
+        pdf = pdf.sort_values(["sid", "v"], kind="stable")
+        sid_arr, v_arr = pdf["sid"].to_numpy(), pdf["v"].to_numpy()
+        for key, s in pending:
+            sid = sets[(key[0], tuple(s["conds"]))]
+            lo_i, hi_i = np.searchsorted(sid_arr, sid, "left"), np.searchsorted(sid_arr, sid, "right")
+            s["value"] = float(v_arr[lo_i:hi_i][key[1] - s["below"]])
     out: dict[str, list[float | None]] = {}
     for c in cols:
         n = prof[c][0]

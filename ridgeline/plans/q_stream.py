@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.plans import oracle as O
 from ridgeline.plans.q_joins import ACTES, FIN, KFIN
 from ridgeline.plans.q_predictions import r6
+from ridgeline.plans.registry import ORACLE
 from ridgeline.plans.q_scenario import _svc_sql
 from ridgeline.plans.registry import query
 from ridgeline.streaming import live as L
@@ -62,7 +63,10 @@ def st_burst(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("st_drift")
+PREDICTION_DRIFT_SQL = ORACLE["prediction_drift"]
+
+
+@query("st_drift", PREDICTION_DRIFT_SQL)
 def st_drift(spark, sf):
     _log, drift = L.drift_monitor(L.live_readings(spark, sf))
     return r6(spark.read.parquet(drift))

@@ -277,3 +277,20 @@ def interactions(spark, sf):
     f"round({c} * {c}, 6) AS {c}_squared, round({c} * {c} * {c}, 6) AS {c}_cubed" for c in _INTER[:3]) + " FROM fin"))
 def polynomials(spark, sf):
     return base(spark, sf).select("seq", *r6(CAL.polynomials(_INTER[:3])))
+
+
+def _irr_sql():
+    parts = []
+    for h in (5, 15, 30, 60):
+        fr = (f"OVER (PARTITION BY asset_id ORDER BY ts RANGE BETWEEN INTERVAL {h} MINUTE FOLLOWING "
+              f"AND INTERVAL {h + 30} MINUTE FOLLOWING)")
+        parts.append(f"first_value(kex) {fr} AS kex_{h}min_ahead")
+    return ", ".join(parts)
+
+
+@query("horizon_targets_time", O.with_ctes(R, FIN, body=f"SELECT seq, {_irr_sql()} FROM fin"))
+def horizon_targets_time(spark, sf):
+    """W17 on irregular data: first value in [t + h, t + h + 30 min]."""
+    out = H.time_windowed(base(spark, sf), KEYS, "ts", lambda w: W.irregular_targets(w, "kex", tol_minutes=30),
+                          lookback_seconds=0, lookahead_seconds=90 * 60)
+    return out.select("seq", *[f"kex_{h}min_ahead" for h in (5, 15, 30, 60)])

@@ -33,22 +33,20 @@ def column_profile(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, f
     return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    profile: dict | None = None) -> dict[str, list[float | None]]:
-    """{column: [quantile for each prob]} over non-null values, exact."""
-    cols = list(cols)
+def exact_order_stats(df: DataFrame, ranks: dict[str, Sequence[int]],
+                      profile: dict | None = None) -> dict[str, dict[int, float]]:
+    """{column: {rank: value}}: the value at each 0-based rank among the
+    column's non-null values, found by histogram refinement (exact)."""
+    cols = list(ranks)
     prof = profile or column_profile(df, cols)
-    # one search per (column, rank); ranks shared between probs are searched once
     searches: dict[tuple[str, int], dict] = {}
     for c in cols:
         n, lo, hi = prof[c]
-        if not n:
-            continue
-        for p in probs:
-            pos = p * (n - 1)
-            for r in {math.floor(pos), math.ceil(pos)}:
-                searches.setdefault((c, r), {"conds": [], "lo": lo, "hi": hi, "below": 0,
-                                              "size": n, "value": None if lo != hi else lo})
+        for r in ranks[c]:
+            if not n or r < 0 or r >= n:
+                raise ValueError(f"rank {r} outside 0..{n - 1} for {c}")
+            searches.setdefault((c, r), {"conds": [], "lo": lo, "hi": hi, "below": 0,
+                                          "size": n, "value": None if lo != hi else lo})
     for _ in range(MAX_ROUNDS):
         active = [(k, s) for k, s in searches.items() if s["value"] is None and s["size"] > COLLECT_LIMIT]
         if not active:
@@ -104,6 +102,21 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             sid = sets[(key[0], tuple(s["conds"]))]
             lo_i, hi_i = np.searchsorted(sid_arr, sid, "left"), np.searchsorted(sid_arr, sid, "right")
             s["value"] = float(v_arr[lo_i:hi_i][key[1] - s["below"]])
+    return {c: {r: searches[(c, r)]["value"] for r in ranks[c]} for c in cols}
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    profile: dict | None = None) -> dict[str, list[float | None]]:
+    """{column: [quantile for each prob]} over non-null values, exact, with
+    linear interpolation between order statistics."""
+    cols = list(cols)
+    prof = profile or column_profile(df, cols)
+    want = {}
+    for c in cols:
+        n = prof[c][0]
+        if n:
+            want[c] = sorted({r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    stats = exact_order_stats(df, want, prof) if want else {}
     out: dict[str, list[float | None]] = {}
     for c in cols:
         n = prof[c][0]
@@ -113,7 +126,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 res.append(None)
                 continue
             pos = p * (n - 1)
-            a, b = searches[(c, math.floor(pos))]["value"], searches[(c, math.ceil(pos))]["value"]
+            a, b = stats[c][math.floor(pos)], stats[c][math.ceil(pos)]
             frac = pos - math.floor(pos)
             res.append(a + (b - a) * frac if frac else a)
         out[c] = res

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -81,43 +82,62 @@ def preset_range(df: DataFrame, preset: str = "24h", ts: str = "ts", keys: Seque
     return j.filter(F.col(ts) >= F.col("_last") - interval).drop("_last")
 
 
+_H52 = (1 << 52) - 1
+
+
+def _hash52(key: Sequence[str], seed: int) -> Column:
+    """Seeded 52-bit hash (exact as a double, so order statistics are exact)."""
+    return F.xxhash64(*[F.col(c) for c in key], F.lit(seed)).bitwiseAND(F.lit(_H52)).cast("double")
+
+
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] = ("seq",)) -> DataFrame:
-    """T5: repeatable sample of at most n rows without replacement: the n
-    smallest hash values of the key (top-n per partition, then merged)."""
-    h = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
+    """T5: repeatable sample of min(n, rows) rows without replacement: the
+    rows with the n smallest seeded hashes.
+
+    The cut-off is the exact n-th smallest hash (histogram refinement, no
+    single-task gather of n rows per partition); rows tied on the cut-off
+    hash are taken in key order."""
+    from ridgeline.operators.quantiles import column_profile, exact_order_stats
+    d = df.withColumn("_h", _hash52(key, seed))
+    prof = column_profile(d, ["_h"])
+    total = prof["_h"][0]
+    if total <= n:
+        return d.drop("_h")
+    t = exact_order_stats(d, {"_h": [n - 1]}, prof)["_h"][n - 1]
+    below = d.filter(F.col("_h") < t)
+    need = n - below.count()
+    ties = d.filter(F.col("_h") == t).orderBy(*key).limit(need)
+    return below.unionByName(ties).drop("_h")
 
 
 def sample_stratified(df: DataFrame, bin_col: str, frac: float, seed: int = 42,
                       key: Sequence[str] = ("seq",)) -> DataFrame:
     """Per bin keep round(frac * bin size) rows with the smallest hashes.
 
-    Bin sizes come from a small aggregate; the per-bin rank is a hash-ordered
-    ``row_number`` (partitioned by bin; bins are deciles, so at scale the
-    rank is computed on (bin, hash range) buckets — see ``rank_in_bins``)."""
-    h = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
-    sizes = df.groupBy(bin_col).agg(F.count(F.lit(1)).alias("_nb"))
-    d = df.withColumn("_h", h)
-    ranked = rank_in_bins(d, bin_col, "_h", key)
-    return (ranked.join(F.broadcast(sizes), bin_col)
-                  .filter(F.col("_rk") <= F.round(F.col("_nb") * frac))
-                  .drop("_h", "_rk", "_nb"))
-
-
-def rank_in_bins(d: DataFrame, bin_col: str, h: str, key: Sequence[str]) -> DataFrame:
-    """1-based rank of ``h`` within each bin without one task per bin: rows are
-    split into hash-range buckets, counted per (bin, bucket), offsets are
-    a running sum over the small count table, then ranks are local."""
-    # 256 buckets by the top byte of the (signed) hash: bucket order = hash order
-    bk = (F.shiftright(F.col(h), 56) + 128).cast("int")
-    d = d.withColumn("_bk", bk)
-    counts = d.groupBy(bin_col, "_bk").agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.select(bin_col, "_bk", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(bin_col).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(bin_col, "_bk").orderBy(h, *key)
-    return (d.join(F.broadcast(offs), [bin_col, "_bk"])
-              .withColumn("_rk", F.col("_off") + F.row_number().over(w))
-              .drop("_bk", "_off"))
+    Bin sizes come from one small aggregate; the per-bin cut-offs are exact
+    order statistics of per-bin hash columns (one refinement search for all
+    bins), so no bin is ranked inside a single task.  (Rows sharing the
+    exact cut-off hash of a bin are all kept; with 52-bit hashes that is
+    vanishingly rare.)"""
+    from ridgeline.operators.quantiles import column_profile, exact_order_stats
+    d = df.withColumn("_h", _hash52(key, seed))
+    sizes = {r[bin_col]: r["n"] for r in d.groupBy(bin_col).agg(F.count(F.lit(1)).alias("n")).collect()}  # <= bins
+    keep = {b: _round_half_up(n * frac) for b, n in sizes.items()}
+    cols = {b: f"_h_{i}" for i, b in enumerate(sorted(sizes))}
+    dd = d.select("*", *[F.when(F.col(bin_col) == b, F.col("_h")).alias(c) for b, c in cols.items()])
+    want = {cols[b]: [keep[b] - 1] for b in sizes if 0 < keep[b] < sizes[b]}
+    stats = exact_order_stats(dd, want) if want else {}
+    cond = F.lit(False)
+    for b in sizes:
+        if keep[b] >= sizes[b]:
+            cond = cond | (F.col(bin_col) == b)
+        elif keep[b] > 0:
+            cond = cond | ((F.col(bin_col) == b) & (F.col("_h") <= stats[cols[b]][keep[b] - 1]))
+    return d.filter(cond).drop("_h")
+
+
+def _round_half_up(x: float) -> int:
+    return int(math.floor(x + 0.5))
 
 
 def union_unify(frames: Sequence[DataFrame]) -> DataFrame:

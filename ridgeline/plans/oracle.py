@@ -63,6 +63,13 @@ def status_reagent(g="grade", rpct="recovery_pct", kex="kex", sipx="sipx") -> st
             f"ELSE 'optimal' END)")
 
 
+def cadence_rows(table: str, minutes: int) -> str:
+    """Rows of ``table`` kept by a timed save: first (ts, seq) per asset and
+    aligned ``minutes`` window."""
+    return (f"(SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY asset_id, "
+            f"time_bucket(INTERVAL {minutes} MINUTE, ts) ORDER BY ts, seq) = 1)")
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
 

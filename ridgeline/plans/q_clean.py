@@ -156,13 +156,13 @@ def impute_median(spark, sf):
 
 CALC = f"""
 calc AS (SELECT seq, ts, asset_id, grade, {O.recovery_pct()} / 100.0 AS recovery
-         FROM (SELECT *, {O.grade()} AS grade FROM readings WHERE seq % 5 = 0) x)"""
-SETTINGS = "settings AS (SELECT asset_id, ts, seq, kex, sipx FROM readings WHERE seq % 50 = 0)"
+         FROM (SELECT *, {O.grade()} AS grade FROM {O.cadence_rows('readings', T.CALC_MINUTES)} c) x)"""
+SETTINGS = f"settings AS (SELECT asset_id, ts, seq, kex, sipx FROM {O.cadence_rows('readings', T.SETTINGS_MINUTES)} s)"
 PREDS = f"""
 preds AS (SELECT seq, asset_id, ts, h AS horizon,
                  grade + (seq % 7 - 3) / 10.0::DOUBLE + h / 100.0::DOUBLE AS prediction,
                  ts + to_minutes(h) AS target_ts, grade AS issue_value
-          FROM (SELECT *, {O.grade()} AS grade FROM readings WHERE seq % 3 = 0) x,
+          FROM (SELECT *, {O.grade()} AS grade FROM readings) x,
                (SELECT unnest([5, 15, 30, 60]) AS h) hz)"""
 
 

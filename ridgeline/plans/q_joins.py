@@ -57,8 +57,9 @@ def alerts(spark, sf):
 
 
 def dismissals(a):
-    """Append-only dismissal events: every alert of every fourth reading."""
-    return a.filter(F.col("seq") % 4 == 0).select("alert_id", F.col("ts").alias("dismissed_at"))
+    """Append-only dismissal events: operators acknowledge every
+    medium-severity alert."""
+    return a.filter(F.col("severity") == "medium").select("alert_id", F.col("ts").alias("dismissed_at"))
 
 
 @query("threshold_alerts", O.with_ctes(*ACTES, body="SELECT * EXCLUDE (value), round(value, 6) AS value FROM alerts"))
@@ -67,14 +68,14 @@ def threshold_alerts(spark, sf):
 
 
 @query("alerts_undismissed", O.with_ctes(*ACTES, body="""
-SELECT alert_id, seq, metric, alert_type, severity FROM alerts WHERE alert_id NOT IN (SELECT alert_id FROM alerts WHERE seq % 4 = 0)"""))
+SELECT alert_id, seq, metric, alert_type, severity FROM alerts WHERE alert_id NOT IN (SELECT alert_id FROM alerts WHERE severity = 'medium')"""))
 def alerts_undismissed(spark, sf):
     a = alerts(spark, sf)
     return J.undismissed(a, dismissals(a)).select("alert_id", "seq", "metric", "alert_type", "severity")
 
 
 @query("alerts_open", O.with_ctes(*ACTES, body="""
-SELECT alert_id, ts, alert_type, severity FROM alerts WHERE seq % 4 <> 0 ORDER BY ts DESC, alert_id DESC LIMIT 50"""))
+SELECT alert_id, ts, alert_type, severity FROM alerts WHERE alert_id NOT IN (SELECT alert_id FROM alerts WHERE severity = 'medium') ORDER BY ts DESC, alert_id DESC LIMIT 50"""))
 def alerts_open(spark, sf):
     a = alerts(spark, sf)
     u = J.undismissed(a, dismissals(a))
@@ -98,7 +99,8 @@ def alert_summary(spark, sf):
 
 
 CALCS = f"""
-calcs AS (SELECT seq, asset_id, ts, grade, recovery, {O.status_reagent('grade', 'recovery * 100.0', 'kex', 'sipx')} AS status FROM kfin WHERE seq % 5 = 0)"""
+calcs AS (SELECT seq, asset_id, ts, grade, recovery, {O.status_reagent('grade', 'recovery * 100.0', 'kex', 'sipx')} AS status
+          FROM {O.cadence_rows('kfin', T.CALC_MINUTES)} c)"""
 
 
 def _fb(c):
@@ -117,7 +119,7 @@ SELECT f.seq, f.asset_id, f.ts, f.feed_pb, f.kex, f.sipx,
 FROM fin f LEFT JOIN calcs c ON f.asset_id = c.asset_id AND f.ts = c.ts"""))
 def hist_combined(spark, sf):
     k = kfin(spark, sf)
-    calc = (k.filter(F.col("seq") % 5 == 0)
+    calc = (T.cadence_table(k, T.CALC_MINUTES)
              .withColumn("status", P.status_reagent("grade", F.col("recovery") * 100.0, "kex", "sipx"))
              .select("seq", "asset_id", "ts", "grade", "recovery", "status"))
     r = C.inf_to_null(T.readings(spark, sf)).select("seq", "asset_id", "ts", "feed_pb", "kex", "sipx")
@@ -136,7 +138,8 @@ _TREND_METRICS = ["feed_pb", "kex", "sipx", "air_flow", "level", "grade", "recov
 
 
 @query("trend_analysis", O.with_ctes(R, FIN, KFIN, """
-long AS (UNPIVOT (SELECT asset_id, ts, seq, feed_pb, kex, sipx, air_flow, level, grade, recovery * 100.0 AS recovery_pct FROM kfin WHERE seq % 5 = 0)
+long AS (UNPIVOT (SELECT asset_id, ts, seq, feed_pb, kex, sipx, air_flow, level, grade, recovery * 100.0 AS recovery_pct
+                  FROM """ + O.cadence_rows("kfin", T.CALC_MINUTES) + """ c)
          ON feed_pb, kex, sipx, air_flow, level, grade, recovery_pct INTO NAME metric VALUE value)""", """
 g AS (SELECT asset_id, metric, count(*) AS n, arg_min(value, (ts, seq)) AS first, arg_max(value, (ts, seq)) AS last,
              avg(value) AS mean, min(value) AS min, max(value) AS max, stddev_pop(value) AS volatility
@@ -149,7 +152,7 @@ SELECT asset_id, metric, n,
             WHEN n >= 2 AND (last - first) / nullif(first, 0) * 100.0 < -5 THEN 'decreasing' ELSE 'stable' END AS trend
 FROM g"""))
 def trend_analysis(spark, sf):
-    k = kfin(spark, sf).filter(F.col("seq") % 5 == 0)
+    k = T.cadence_table(kfin(spark, sf), T.CALC_MINUTES)
     metrics = {m: F.col(m) for m in _TREND_METRICS[:-1]}
     metrics["recovery_pct"] = F.col("recovery") * 100.0
     return r6(J.trend_analysis(k, metrics))

@@ -71,9 +71,28 @@ def with_kpis(r: DataFrame) -> DataFrame:
              .withColumn("recovery", P.recovery_two_product(grade="grade") / 100.0))
 
 
+# Save cadence (minutes) of the reference's calculated-values
+# and optimisation tables.
+CALC_MINUTES = 5
+SETTINGS_MINUTES = 10
+
+
+def cadence_table(df: DataFrame, minutes: int, keys: tuple[str, ...] = ("asset_id",),
+                  ts: str = "ts", tie: str = "seq") -> DataFrame:
+    """The row a timed save keeps: first row (by ts, tie) of each aligned
+    ``minutes`` window per key.  One hash aggregate with a map-side partial
+    ``min_by``: a single row per (key, window) crosses the shuffle, and a hot
+    key spreads over its windows."""
+    cols = df.columns
+    first = F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col(ts), F.col(tie)))
+    return (df.groupBy(*keys, F.window(ts, f"{minutes} minutes").start.alias("_w"))
+              .agg(first.alias("_r")).select("_r.*"))
+
+
 def calc(r: DataFrame) -> DataFrame:
-    """Calculated values table: every fifth reading, grade and recovery."""
-    return (with_kpis(r.filter(F.col("seq") % 5 == 0))
+    """Calculated values table: grade and recovery of the reading saved at
+    each 5-minute cadence point."""
+    return (with_kpis(cadence_table(r, CALC_MINUTES))
             .select("seq", "ts", "asset_id", "grade", "recovery"))
 
 
@@ -81,10 +100,9 @@ HORIZONS = (5, 15, 30, 60)
 
 
 def preds(r: DataFrame) -> DataFrame:
-    """Prediction log: every third reading, one row per horizon."""
+    """Prediction log: every reading scored for every horizon."""
     hz = F.explode(F.array(*[F.lit(h) for h in HORIZONS]))
-    base = (r.filter(F.col("seq") % 3 == 0)
-             .select("seq", "asset_id", "ts", P.grade_estimate().alias("grade"))
+    base = (r.select("seq", "asset_id", "ts", P.grade_estimate().alias("grade"))
              .withColumn("horizon", hz))
     return base.select(
         "seq", "asset_id", "ts", "horizon",
@@ -101,5 +119,5 @@ def actuals(r: DataFrame) -> DataFrame:
 
 
 def settings(r: DataFrame) -> DataFrame:
-    """Control-setting changes: every fiftieth reading."""
-    return r.filter(F.col("seq") % 50 == 0).select("asset_id", "ts", "seq", "kex", "sipx")
+    """Optimisation table: control settings saved at each 10-minute cadence point."""
+    return cadence_table(r, SETTINGS_MINUTES).select("asset_id", "ts", "seq", "kex", "sipx")

@@ -7,7 +7,7 @@ rule serves batch jobs and streaming queries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values that must equal the reference's (do not change) ----------
@@ -60,31 +60,36 @@ def grade_estimate(feed="feed_pb", kex="kex", sipx="sipx", air="air_flow", level
     return round_half_up(clamp(feed * 8.0 * effects / 4.0, *GRADE_CLAMP), 2)
 
 
+def band_case(kex, sipx, out: dict) -> Column:
+    """One flat CASE over the reagent bands returning ``out[band]``.  Band
+    dependent values (names, clamp bounds) are chosen directly from the two
+    flows, never by comparing a nested band CASE, so generated code stays
+    small enough for the JIT."""
+    k, s = _c(kex), _c(sipx)
+    return (F.when((k == 0) & (s == 0), out["none"])
+            .when((k <= KEX_Q25) & (s <= SIPX_Q25), out["low"])
+            .when((k >= KEX_Q95) | (s >= SIPX_Q95), out["excess"])
+            .when((k > KEX_Q75) | (s > SIPX_Q75), out["high"])
+            .otherwise(out["normal"]))
+
+
 def reagent_band(kex="kex", sipx="sipx") -> Column:
     """none / low / excess / high / normal from the two reagent flows."""
-    k, s = _c(kex), _c(sipx)
-    return (F.when((k == 0) & (s == 0), "none")
-            .when((k <= KEX_Q25) & (s <= SIPX_Q25), "low")
-            .when((k >= KEX_Q95) | (s >= SIPX_Q95), "excess")
-            .when((k > KEX_Q75) | (s > SIPX_Q75), "high")
-            .otherwise("normal"))
+    return band_case(kex, sipx, {b: F.lit(b) for b in BAND_CLAMPS})
 
 
-def band_limits(band: Column, which: str) -> tuple[Column, Column]:
+def band_limits(kex, sipx, which: str) -> tuple[Column, Column]:
     """(lo, hi) of the band's grade (which='grade') or recovery range."""
     idx = 0 if which == "grade" else 1
-    lo = hi = None
-    for name, limits in BAND_CLAMPS.items():
-        a, b = limits[idx]
-        lo = F.when(band == name, F.lit(a)) if lo is None else lo.when(band == name, F.lit(a))
-        hi = F.when(band == name, F.lit(b)) if hi is None else hi.when(band == name, F.lit(b))
+    lo = band_case(kex, sipx, {b: F.lit(v[idx][0]) for b, v in BAND_CLAMPS.items()})
+    hi = band_case(kex, sipx, {b: F.lit(v[idx][1]) for b, v in BAND_CLAMPS.items()})
     return lo, hi
 
 
-def band_clamp(value, band: Column, which: str) -> Column:
-    """Clamp ``value`` to the band's grade or recovery range (one clamp, the
-    value expression appears once)."""
-    lo, hi = band_limits(band, which)
+def band_clamp(value, kex, sipx, which: str) -> Column:
+    """Clamp ``value`` to the grade or recovery range of the reagent band of
+    (kex, sipx); the value expression appears once."""
+    lo, hi = band_limits(kex, sipx, which)
     return F.greatest(lo, F.least(hi, _c(value)))
 
 
@@ -97,34 +102,59 @@ def tailings_factor(x: Column, base: float, weight: float) -> Column:
     return clamp(F.lit(0.3) - (x - base) / base * weight, 0.2, 0.4)
 
 
+def _recovery_inputs(feed, kex, sipx, air, level, variant: str):
+    b = RECOVERY_BASES[variant]
+    return (F.coalesce(_c(feed), F.lit(DEFAULT_FEED)), F.coalesce(_c(kex), F.lit(b["kex"])),
+            F.coalesce(_c(sipx), F.lit(b["sipx"])), F.coalesce(_c(air), F.lit(DEFAULT_AIR)),
+            F.coalesce(_c(level), F.lit(DEFAULT_LEVEL)))
+
+
+def tailings_grade(feed="feed_pb", kex="kex", sipx="sipx", air="air_flow", level="level",
+                   variant: str = "service") -> Column:
+    """Tailings grade t = f * mean of the four clamped tailings factors."""
+    b = RECOVERY_BASES[variant]
+    f, k, s, a, lv = _recovery_inputs(feed, kex, sipx, air, level, variant)
+    avg_factor = (tailings_factor(k, b["kex"], 0.1) + tailings_factor(s, b["sipx"], 0.08)
+                  + tailings_factor(a, b["air"], 0.06) + tailings_factor(lv, b["level"], 0.04)) / 4.0
+    return f * avg_factor
+
+
 def recovery_two_product(grade="grade", feed="feed_pb", kex="kex", sipx="sipx", air="air_flow",
-                         level="level", variant: str = "service") -> Column:
+                         level="level", variant: str = "service", tailings=None) -> Column:
     """two-product recovery 100*(c/f)*(f-t)/(c-t) in percent.
 
     ``variant='service'``: band clamp by reagent band, rounded to 0.1, 80.0
     when the formula does not apply.  ``variant='training'``: training-mean
     base points, clamp 80-95, tailings forced to 0.8*c when c <= t.
+    ``tailings``: a column already holding ``tailings_grade`` (see
+    ``with_recovery``), so the formula refers to it instead of repeating it.
     """
-    b = RECOVERY_BASES[variant]
     c = _c(grade)
-    f = F.coalesce(_c(feed), F.lit(DEFAULT_FEED))
-    k = F.coalesce(_c(kex), F.lit(b["kex"]))
-    s = F.coalesce(_c(sipx), F.lit(b["sipx"]))
-    a = F.coalesce(_c(air), F.lit(DEFAULT_AIR))
-    lv = F.coalesce(_c(level), F.lit(DEFAULT_LEVEL))
-    avg_factor = (tailings_factor(k, b["kex"], 0.1) + tailings_factor(s, b["sipx"], 0.08)
-                  + tailings_factor(a, b["air"], 0.06) + tailings_factor(lv, b["level"], 0.04)) / 4.0
-    t = f * avg_factor
+    f, k, s, _a, _lv = _recovery_inputs(feed, kex, sipx, air, level, variant)
+    t = tailings_grade(feed, kex, sipx, air, level, variant) if tailings is None else _c(tailings)
     raw = F.lit(100.0) * (c / f) * (f - t) / (c - t)
     valid = (f > 0) & (c > 0)
     if variant == "service":
-        banded = band_clamp(raw, reagent_band(k, s), "recovery")
+        banded = band_clamp(raw, k, s, "recovery")
         return F.when(valid & (c > t), round_half_up(banded, 1)).otherwise(F.lit(80.0))
     t2 = c * 0.8
     forced = F.lit(100.0) * (c / f) * (f - t2) / (c - t2)
     return F.when(valid, clamp(F.when(c > t, raw).otherwise(forced), 80.0, 95.0))
 
 
+def with_recovery(df: DataFrame, out: str, grade="grade", feed="feed_pb", kex="kex", sipx="sipx",
+                  air="air_flow", level="level", variant: str = "service", divisor: float = 1.0) -> DataFrame:
+    """Add F6 recovery (divided by ``divisor``, e.g. 100 for a fraction) as column ``out`` in two staged
+    projections: the tailings grade first, then the formula referring to it.
+    Catalyst keeps the stages apart (the tailings column is used three
+    times), so each formula is compiled once."""
+    staged = df.select("*", tailings_grade(feed, kex, sipx, air, level, variant).alias("_tailings"))
+    rec = recovery_two_product(grade, feed, kex, sipx, air, level, variant, tailings="_tailings")
+    if divisor != 1.0:
+        rec = rec / divisor
+    return staged.select(*[F.col(c) for c in df.columns], rec.alias(out))
+
+
 def fallback_grade(feed="feed_pb", kex="kex", sipx="sipx") -> Column:
     """F8: grade used when no calculated value matched a reading."""
     f = F.coalesce(_c(feed), F.lit(2.0))

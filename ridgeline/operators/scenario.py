@@ -51,8 +51,9 @@ def candidate_rows(points: DataFrame, band=GRADE_BAND, with_current: bool = True
     """A20 for every candidate: one row per (point, candidate), staged.
 
     Candidates come from ``inline`` of a literal array (a Generate, not a
-    join).  Stage 1 computes the grade of each distinct step, stage 2 the
-    recovery from those grade columns, stage 3 the summaries; separate
+    join).  Stage 1 computes the grade of each distinct step, stage 2 its
+    tailings grade, stage 3 the recovery from those columns, stage 4 the
+    summaries; separate
     projections keep each formula a column reference instead of a
     re-inlined tree (CollapseProject does not merge projections that would
     duplicate non-trivial expressions), so generated code stays small."""
@@ -66,12 +67,13 @@ def candidate_rows(points: DataFrame, band=GRADE_BAND, with_current: bool = True
     x = points.select("*", ck.alias("current_kex"), cs.alias("current_sipx"), F.inline(F.array(*items)))
     feed, air, level = F.col("feed_pb"), F.col("air_flow"), F.col("level")
     kc, sc = F.col("cand_kex"), F.col("cand_sipx")
-    st1, st2 = [], []
+    st1, st_t, st2 = [], [], []
     for j, (k, sp) in enumerate(_step_settings(rk, rs, kc, sc)):
         st1 += [k.alias(f"_k{j}"), sp.alias(f"_s{j}"), P.grade_estimate(feed, k, sp, air, level).alias(f"_g{j}")]
-        st2.append((P.recovery_two_product(F.col(f"_g{j}"), feed, F.col(f"_k{j}"), F.col(f"_s{j}"), air, level)
-                    / 100.0).alias(f"_r{j}"))
-    x = x.select("*", *st1).select("*", *st2)
+        st_t.append(P.tailings_grade(feed, F.col(f"_k{j}"), F.col(f"_s{j}"), air, level).alias(f"_t{j}"))
+        st2.append((P.recovery_two_product(F.col(f"_g{j}"), feed, F.col(f"_k{j}"), F.col(f"_s{j}"), air, level,
+                                           tailings=F.col(f"_t{j}")) / 100.0).alias(f"_r{j}"))
+    x = x.select("*", *st1).select("*", *st_t).select("*", *st2)
     n = TIME_STEPS
     gs = [F.col(f"_g{_step_index(t)}") for t in range(n)]
     rs_ = [F.col(f"_r{_step_index(t)}") for t in range(n)]
@@ -121,9 +123,8 @@ def scenario_steps(points: DataFrame) -> DataFrame:
     x = (x.withColumn("kex_eff", F.when(ramp, rk * (1 - f) + F.col("cand_kex") * f).otherwise(F.col("cand_kex")))
           .withColumn("sipx_eff", F.when(ramp, rs * (1 - f) + F.col("cand_sipx") * f).otherwise(F.col("cand_sipx"))))
     g = P.grade_estimate("feed_pb", "kex_eff", "sipx_eff", "air_flow", "level")
-    x = x.withColumn("sim_grade", g)
-    rec = P.recovery_two_product("sim_grade", "feed_pb", "kex_eff", "sipx_eff", "air_flow", "level") / 100.0
-    x = x.withColumn("sim_recovery", rec)
+    x = P.with_recovery(x.withColumn("sim_grade", g), "sim_recovery", "sim_grade", "feed_pb", "kex_eff",
+                        "sipx_eff", "air_flow", "level", divisor=100.0)
     return x.withColumn("flow_rate", F.lit(BASE_FLOW) * (F.lit(1.0) + (F.col("sim_recovery") - 0.85) * 0.5))
 
 

@@ -288,4 +288,4 @@ def reagent_band(spark, sf):
     band = P.reagent_band()
     resc = P.rescale_prediction(F.col("grade"))
     return k.select("seq", band.alias("band"), F.round(resc, 6).alias("rescaled"),
-                    F.round(P.band_clamp(resc, band, "grade"), 6).alias("banded_grade"))
+                    F.round(P.band_clamp(resc, "kex", "sipx", "grade"), 6).alias("banded_grade"))

@@ -66,9 +66,8 @@ def readings_months(r: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_kpis(r: DataFrame) -> DataFrame:
     """Add grade (F7) and recovery fraction (F6) computed from the tags."""
-    g = P.grade_estimate()
-    return (r.withColumn("grade", g)
-             .withColumn("recovery", P.recovery_two_product(grade="grade") / 100.0))
+    g = r.select("*", P.grade_estimate().alias("grade"))
+    return P.with_recovery(g, "recovery", grade="grade", divisor=100.0)
 
 
 # Save cadence (minutes) of the reference's calculated-values

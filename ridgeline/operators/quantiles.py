@@ -5,7 +5,9 @@ which is unbounded for continuous data.  Here each round is one scan with
 partial aggregation: ``groupBy(search, bin).count()`` over ``BINS`` equal-width
 bins of the current candidate range; the bin holding the wanted rank becomes
 the next range.  Once a candidate set is at most ``COLLECT_LIMIT`` rows it is
-fetched (bounded) and the rank read exactly.  Results use linear
+fetched (at most ``COLLECT_LIMIT`` values per set) and the rank read
+exactly.  Searches that share a column and candidate range share one
+histogram and one fetch.  Results use linear
 interpolation between order statistics (pandas ``quantile`` / DuckDB
 ``quantile_cont``).
 """
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
-COLLECT_LIMIT = 200_000
+COLLECT_LIMIT = 10_000
 MAX_ROUNDS = 12
 
 
@@ -51,26 +53,31 @@ def exact_order_stats(df: DataFrame, ranks: dict[str, Sequence[int]],
         active = [(k, s) for k, s in searches.items() if s["value"] is None and s["size"] > COLLECT_LIMIT]
         if not active:
             break
+        # searches of one column over the same candidate range share one
+        # histogram: a row emits at most one entry per column and range
+        hists: dict[tuple, int] = {}
+        for key, s in active:
+            hists.setdefault((key[0], tuple(s["conds"]), s["lo"], s["hi"]), len(hists))
         items = []
-        for sid, (key, s) in enumerate(active):
-            c = key[0]
+        for (c, conds, lo, hi), hid in hists.items():
             v = F.col(c)
             cond = v.isNotNull()
-            for lo, hi, b in s["conds"]:
-                cond = cond & (_bin(v, lo, hi) == b)
-            items.append(F.when(cond, F.struct(F.lit(sid).alias("sid"), _bin(v, s["lo"], s["hi"]).alias("b"),
+            for clo, chi, b in conds:
+                cond = cond & (_bin(v, clo, chi) == b)
+            items.append(F.when(cond, F.struct(F.lit(hid).alias("sid"), _bin(v, lo, hi).alias("b"),
                                                v.cast("double").alias("v"))))
         hist = (df.select(F.explode(F.array(*items)).alias("x")).filter(F.col("x").isNotNull())
                   .groupBy("x.sid", "x.b")
                   .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("mn"), F.max("x.v").alias("mx"))
-                  .collect())
+                  .collect())        # at most BINS rows per histogram
         by_sid: dict[int, list[tuple]] = {}
         for row in hist:
             by_sid.setdefault(row["sid"], []).append((row["b"], row["n"], row["mn"], row["mx"]))
-        for sid, (key, s) in enumerate(active):
+        for key, s in active:
+            hid = hists[(key[0], tuple(s["conds"]), s["lo"], s["hi"])]
             target = key[1] - s["below"]
             acc = 0
-            for b, n, mn, mx in sorted(by_sid.get(sid, [])):
+            for b, n, mn, mx in sorted(by_sid.get(hid, [])):
                 if acc + n > target:
                     s["conds"].append((s["lo"], s["hi"], b))
                     s["below"] += acc

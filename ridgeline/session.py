@@ -16,6 +16,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; a
+    # fused stage above that runs interpreted.  Such stages (wide rule
+    # projections after a Generate) fall back to per-expression codegen,
+    # whose split methods do get compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -112,11 +112,16 @@ def mi_scores(df: DataFrame, features: Sequence[str], target: str, snap: int = 9
     # lineage once so the feature windows are not recomputed per pass
     df = reliable_checkpoint(df.select(*[F.round(F.col(c), snap).alias(c) for c in [*feats, target]]))
     edges = decile_edges(df, [*feats, target])
-    yb = bin_of(F.col(target), edges[target])
-    items = [F.when(F.col(c).isNotNull() & F.col(target).isNotNull(),
-                    F.struct(F.lit(c).alias("feature"), bin_of(F.col(c), edges[c]).alias("xb"), yb.alias("yb")))
-             for c in feats]
-    cells = (df.select(F.explode(F.array(*items)).alias("t")).filter(F.col("t").isNotNull())
+    # bins first (each computed once per row), then the explode refers to
+    # the bin columns: Catalyst keeps the stages apart because the target
+    # bin is used by every feature's entry
+    bins = df.select(*[F.when(F.col(c).isNotNull(), bin_of(F.col(c), edges[c])).alias(f"_xb{i}")
+                       for i, c in enumerate(feats)],
+                     F.when(F.col(target).isNotNull(), bin_of(F.col(target), edges[target])).alias("_yb"))
+    items = [F.when(F.col(f"_xb{i}").isNotNull() & F.col("_yb").isNotNull(),
+                    F.struct(F.lit(c).alias("feature"), F.col(f"_xb{i}").alias("xb"), F.col("_yb").alias("yb")))
+             for i, c in enumerate(feats)]
+    cells = (bins.select(F.explode(F.array(*items)).alias("t")).filter(F.col("t").isNotNull())
                .groupBy("t.feature", "t.xb", "t.yb").agg(F.count(F.lit(1)).alias("nxy")))
     from pyspark.sql import Window
     wf = Window.partitionBy("feature")

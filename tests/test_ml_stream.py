@@ -49,3 +49,16 @@ def test_stream_drift_equals_batch(spark):
     got = {r["horizon"]: round(r["recent_mean"], 9) for r in spark.read.parquet(drift).collect()}
     exp = {r["horizon"]: round(r["recent_mean"], 9) for r in PR.prediction_drift(T.preds(T.readings(spark, SF_MED))).collect()}
     assert got == exp
+
+
+def test_foreign_model_udf_is_arrow_batched_and_exact(spark):
+    from ridgeline.plans import q_ml as QM
+    df = QM.foreign_score(spark, SF_MED)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
+    got = df.toPandas().set_index("seq").sort_index()
+    x = (QM.kfin(spark, SF_MED).select("seq", *QM.FOREIGN.features).toPandas()
+         .set_index("seq").sort_index().fillna(QM.FOREIGN_DEFAULTS))
+    exp = QM.FOREIGN.predict(x[QM.FOREIGN.features]).round(6)
+    assert len(got) == len(x)
+    assert (got["foreign_prediction"].to_numpy() == exp).all()

@@ -38,14 +38,18 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "ridge
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when nothing is
-    configured (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``.  Only a local-mode
+    session with nothing configured (tests, the local bench) gets a fresh
+    scratch folder; on a cluster a machine-local folder would not survive
+    the loss of an executor, so an unset directory is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS, S3, ...) for this cluster")
         configured = tempfile.mkdtemp(prefix="ridgeline-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -38,3 +38,25 @@ def test_scenario_has_no_cross_join(spark):
     p = _plan(spark, "best_scenario")
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "partial_max_by" in p
+
+
+def test_save_cadence_tables_are_partial_aggregates(spark):
+    # the calc table comes from a min_by per (asset, window): no window over
+    # a whole asset, no id-based filter
+    p = _plan(spark, "hist_combined")
+    assert "partial_min_by" in p
+    assert "% 50" not in p and "% 5)" not in p
+
+
+def test_hot_key_windows_run_per_chunk(spark):
+    # row-frame features are partitioned by (asset, chunk), never by asset alone
+    import re
+    p = _plan(spark, "roll_basic")
+    assert re.search(r"hashpartitioning\(asset_id#\d+L?, _chunk#\d+L?", p)
+    assert not re.search(r"hashpartitioning\(asset_id#\d+L?, \d+\)", p)
+
+
+def test_local_scratch_checkpoint_only_in_local_mode(spark):
+    from ridgeline.session import ensure_checkpoint_dir
+    assert spark.sparkContext.master.startswith("local")
+    assert ensure_checkpoint_dir(spark)

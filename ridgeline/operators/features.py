@@ -123,13 +123,27 @@ def mi_scores(df: DataFrame, features: Sequence[str], target: str, snap: int = 9
              for i, c in enumerate(feats)]
     cells = (bins.select(F.explode(F.array(*items)).alias("t")).filter(F.col("t").isNotNull())
                .groupBy("t.feature", "t.xb", "t.yb").agg(F.count(F.lit(1)).alias("nxy")))
-    from pyspark.sql import Window
-    wf = Window.partitionBy("feature")
-    c2 = (cells.withColumn("n", F.sum("nxy").over(wf))
-               .withColumn("nx", F.sum("nxy").over(wf.partitionBy("feature", "xb")))
-               .withColumn("ny", F.sum("nxy").over(wf.partitionBy("feature", "yb"))))
-    term = (F.col("nxy") / F.col("n")) * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
-    return c2.groupBy("feature").agg(F.sum(term).alias("mi"), F.first("n").alias("n"))
+    # a feature has at most 10 x 10 cells (decile bins), a bound fixed by the
+    # code: gather them per feature and take the marginals in-row with
+    # higher-order functions (one shuffle instead of one per marginal).
+    # Counts are multiplied as doubles: n * nxy overflows a long at scale.
+    g = cells.groupBy("feature").agg(F.collect_list(F.struct("xb", "yb", "nxy")).alias("c"))
+    zero = F.lit(0).cast("long")
+
+    def total(arr):
+        return F.aggregate(arr, zero, lambda acc, y: acc + y["nxy"])
+
+    n = total(F.col("c"))
+    g = g.select("feature", "c", n.alias("n"))
+
+    def term(x):
+        nx = total(F.filter("c", lambda y: y["xb"] == x["xb"])).cast("double")
+        ny = total(F.filter("c", lambda y: y["yb"] == x["yb"])).cast("double")
+        nxy, nn = x["nxy"].cast("double"), F.col("n").cast("double")
+        return (nxy / nn) * F.log(nxy * nn / (nx * ny))
+
+    mi = F.aggregate(F.transform("c", term), F.lit(0.0), lambda acc, v: acc + v)
+    return g.select("feature", mi.alias("mi"), "n")
 
 
 def top_k(scores: DataFrame, score: str, k: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.operators.quantiles import column_profile, exact_quantiles
+from ridgeline.session import reliable_checkpoint
 
 # --- fixed values that must equal the reference's ---------------------------
 # Timestamp column candidates, tried in this order.
@@ -189,9 +190,14 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
 def clean_and_impute(df: DataFrame, value_cols: Sequence[str], keys=("asset_id", "ts"), order=("seq",),
                      target: str | None = None) -> DataFrame:
-    """Trace A cleaning: W16 -> P2 -> P1 -> A1 -> P3 in two aggregations."""
+    """Trace A cleaning: W16 -> P2 -> P1 -> A1 -> P3.
+
+    The deduplicated frame feeds several passes (column profile, median
+    refinement rounds, the final projection); it is checkpointed once to the
+    shared checkpoint folder so those passes read it instead of repeating
+    the scan and the dedupe shuffle, and lineage stays short on executor loss."""
     d = dedupe_last(df, keys, order)
-    d = inf_to_null(d, [c for c in value_cols if _is_fractional(d, c)])
+    d = reliable_checkpoint(inf_to_null(d, [c for c in value_cols if _is_fractional(d, c)]))
     prof = column_profile(d, list(value_cols))
     keep = [c for c in value_cols if prof[c][0] > 0]
     d = d.select(*[c for c in d.columns if c not in value_cols or c in keep])

@@ -15,6 +15,7 @@ from ridgeline.plans.q_clean import CALC, PREDS
 from ridgeline.plans.q_joins import FIN, KFIN, kfin
 from ridgeline.plans.q_predictions import BASE, REG, _registry
 from ridgeline.plans.registry import query
+from ridgeline.session import reliable_checkpoint
 from ridgeline.sources import sinks as SK
 from ridgeline.sources import tables as T
 
@@ -105,13 +106,19 @@ def feature_union(spark, sf):
 @query("target_deciles", O.with_ctes(R, CALC, body="""
 SELECT DISTINCT round(unnest(quantile_cont(grade, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])), 6) AS edge FROM calc"""))
 def target_deciles(spark, sf):
-    c = T.calc(T.readings(spark, sf))
+    c = _calc_once(spark, sf)
     edges = FT.decile_edges(c, ["grade"])["grade"]
     return spark.createDataFrame([(e,) for e in edges], "edge double").select(F.round("edge", 6).alias("edge")).distinct()
 
 
+def _calc_once(spark, sf):
+    """The calc table feeds several passes (profile, refinement rounds, bin
+    sizes, sampling): materialise its cadence aggregation once."""
+    return reliable_checkpoint(T.calc(T.readings(spark, sf)))
+
+
 def _binned_calc(spark, sf):
-    c = T.calc(T.readings(spark, sf))
+    c = _calc_once(spark, sf)
     edges = FT.decile_edges(c, ["grade"])["grade"]
     return c.withColumn("bin", FT.bin_of(F.col("grade"), edges))
 

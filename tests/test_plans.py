@@ -60,3 +60,14 @@ def test_local_scratch_checkpoint_only_in_local_mode(spark):
     from ridgeline.session import ensure_checkpoint_dir
     assert spark.sparkContext.master.startswith("local")
     assert ensure_checkpoint_dir(spark)
+
+
+def test_cluster_without_checkpoint_dir_refuses_local_scratch():
+    import pytest
+    from types import SimpleNamespace
+    from ridgeline.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://cluster:7077",
+                         setCheckpointDir=lambda d: pytest.fail("must not set a local folder"))
+    fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(fake)

@@ -13,6 +13,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,22 +67,23 @@ def snapshots(readings: DataFrame, minutes: int = 2, delay: str = "10 minutes")
 
 def _ring_lags(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """ST3: per-asset ring buffer of the last 100 (kex, sipx) readings; lag1/lag2
-    fall back to the current value (W4)."""
-    if state.exists:
-        kh, sh = list(state.get[0]), list(state.get[1])
-    else:
-        kh, sh = [], []
+    fall back to the current value (W4).  One micro-batch of one asset (bounded
+    by ``maxFilesPerTrigger``) is ordered and the lags are read from the
+    buffer followed by the batch, vectorised with numpy."""
+    hist = [np.asarray(h, dtype="float64") for h in state.get] if state.exists else [np.empty(0), np.empty(0)]
     pdf = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "seq"])
-    out = {"seq": [], "kex_lag1": [], "kex_lag2": [], "sipx_lag1": [], "sipx_lag2": []}
-    for seq, k, s in zip(pdf["seq"], pdf["kex"], pdf["sipx"]):
-        out["seq"].append(int(seq))
-        out["kex_lag1"].append(kh[-1] if len(kh) >= 1 else k)
-        out["kex_lag2"].append(kh[-2] if len(kh) >= 2 else k)
-        out["sipx_lag1"].append(sh[-1] if len(sh) >= 1 else s)
-        out["sipx_lag2"].append(sh[-2] if len(sh) >= 2 else s)
-        kh, sh = (kh + [k])[-RING:], (sh + [s])[-RING:]
-    state.update((kh, sh))
-    yield pd.DataFrame(out)
+    out = {"seq": pdf["seq"].to_numpy(dtype="int64")}
+    new_hist = []
+    for name, h in zip(("kex", "sipx"), hist):
+        cur = pdf[name].to_numpy(dtype="float64")
+        seq_all = np.concatenate([h, cur])
+        pos = np.arange(len(cur)) + len(h)          # index of each batch row in seq_all
+        for lag in (1, 2):
+            src = pos - lag
+            out[f"{name}_lag{lag}"] = np.where(src >= 0, seq_all[np.maximum(src, 0)], cur)
+        new_hist.append(seq_all[-RING:].tolist())
+    state.update(tuple(new_hist))
+    yield pd.DataFrame(out)[["seq", "kex_lag1", "kex_lag2", "sipx_lag1", "sipx_lag2"]]
 
 
 def ring_lags(readings: DataFrame) -> DataFrame:

@@ -80,3 +80,26 @@ def test_alert_rules_first_match_per_metric(spark):
     k = T.with_kpis(C.inf_to_null(T.readings(spark, SF_MED)))
     a = J.threshold_alerts(k, J.kpi_metrics())
     assert a.groupBy("seq", "metric").count().filter("count > 1").count() == 0
+
+
+def test_quantile_search_fetches_bounded_candidates(spark, monkeypatch):
+    # the driver only ever receives candidate sets of at most COLLECT_LIMIT
+    # values, however large the column (here 10x the limit, 9 deciles)
+    n, limit = 20000, 2000
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"x": rng.normal(size=n)})
+    df = spark.createDataFrame(pdf)
+    cls = type(df)                      # the concrete (classic) DataFrame class
+    fetched = []
+    real = cls.toPandas
+
+    def spy(self):
+        out = real(self)
+        fetched.append(len(out))
+        return out
+    monkeypatch.setattr(cls, "toPandas", spy)
+    monkeypatch.setattr(Q, "COLLECT_LIMIT", limit)
+    probs = [i / 10 for i in range(1, 10)]
+    res = Q.exact_quantiles(df, ["x"], probs)
+    assert len(fetched) == 1 and fetched[0] <= limit * len(probs)   # one fetch, each set <= limit
+    assert np.allclose(res["x"], pdf["x"].quantile(probs).tolist(), atol=1e-12)

@@ -71,3 +71,11 @@ def test_cluster_without_checkpoint_dir_refuses_local_scratch():
     fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: None))
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(fake)
+
+
+def test_rule_queries_stay_in_the_jvm(spark):
+    # rules are built-in Column expressions: no Python evaluation in the plan
+    for name in ("flagship", "hist_combined", "threshold_alerts", "best_scenario", "recommendations",
+                 "trend_analysis", "asof_validate"):
+        p = _plan(spark, name)
+        assert "EvalPython" not in p and "MapInPandas" not in p, name

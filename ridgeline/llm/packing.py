@@ -2,7 +2,7 @@
 
 Documents are encoded in Arrow batches; a piece table (numbers only, no text)
 is written once and dealt by hash over as many partitions as it needs.  Each
-partition packs its pieces online: a fixed number of open bins, filed by free
+partition packs its pieces online, each Arrow batch longest first: a fixed number of open bins, filed by free
 space; a bitset of the free spaces in use finds the fullest bin that still
 takes a piece.  When too many are open, the fullest closes.
 """
@@ -150,6 +150,7 @@ def place(pieces: DataFrame, size: int = SEQUENCE_TOKENS, open_bins: int = OPEN_
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer, base = Packer(size, open_bins), TaskContext.get().partitionId() << 40
         for frame in frames:
+            frame = frame.sort_values("length", ascending=False, kind="stable")
             at = [packer.put(n) for n in frame["length"].tolist()]
             yield frame.assign(sequence_id=[base + b for b, _ in at], offset=[o for _, o in at])
 

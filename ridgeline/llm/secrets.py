@@ -36,7 +36,7 @@ KEYWORD = re.compile(r"(?ai:password|passwd|secret|token|api_?key)")
 
 #: Sampled texts that hold a base pattern, and others; windows taken from one
 #: text; tokens on either side of a window's middle.
-SAMPLE_HITS, SAMPLE_PLAIN, WINDOWS, SIDE = 800, 400, 2, 8
+SAMPLE_HITS, SAMPLE_PLAIN, WINDOWS, SIDE = 400, 200, 2, 8
 #: Neighbouring words that are features by themselves; training passes, their step, ridge weight.
 CONTEXT_WORDS, PASSES, RATE, RIDGE = 60, 120, 0.2, 1e-5
 #: Characters that don't count at the ends of a tagged span; the shortest span added.

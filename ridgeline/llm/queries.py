@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import bpe, exact_dedup, packing, pii, secrets, sharding, token_counts, toxicity
+from ridgeline.llm import bpe, exact_dedup, jaccard, packing, pii, secrets, sharding, token_counts, toxicity
 from ridgeline.llm.registry import query
 from ridgeline.llm.util import load
 
@@ -59,6 +59,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs))
 
 
+@query("op6_jaccard")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(load(spark, sf_dir, "documents"))
+
+
 @query("op7_pii")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(load(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import bpe, exact_dedup, jaccard, packing, pii, secrets, sharding, token_counts, toxicity
+from ridgeline.llm import ann, bpe, exact_dedup, jaccard, packing, pii, secrets, sharding, token_counts, toxicity
 from ridgeline.llm.registry import query
 from ridgeline.llm.util import load
 
@@ -53,6 +53,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+@query("op4_ann")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(load(spark, sf_dir, "embeddings"))
+
+
 @query("op5_secrets")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")

@@ -31,8 +31,6 @@ ORDER_BUCKETS = 1 << 18
 MOST_MATCHES, VERIFY_COST = 8, 10.0
 #: Minimum hashes for the first round, and how many two classes must share there.
 SKETCH, SKETCH_SHARED = 8, 4
-#: A table of ids with at most so many rows is broadcast (16 MB); a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -118,11 +116,6 @@ def _measure(docs: DataFrame, width: int, seed: int) -> DataFrame:
     return _bytes(docs).mapInArrow(run, schema)
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, seed: int) -> DataFrame:
     """set_id, n, l, tokens (32-bit) of every row that has words."""
     usual = np.median(counts[counts > 0]) if counts.any() else 0
@@ -152,17 +145,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, width: int,
     """The pairs (a, b) of set_ids whose sets are similar enough.  ``members``:
     doc rows (doc_id, set_id); texts are read again for the classes in pairs."""
     ids = util.written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    some = util.written(members.join(_bounded(ids), F.col("set_id") == F.col("id"), "left_semi").groupBy("set_id").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")))
+    some = util.written(members.join(util.bounded(ids), F.col("set_id") == F.col("id"), "left_semi").groupBy("set_id").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")))
 
     def run(batches):
         for b in batches:
             sets = [shingles(x, width, seed) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "hashes"])
 
-    wanted = _bounded(some.select("one").distinct())
+    wanted = util.bounded(some.select("one").distinct())
     texts = _bytes(docs)
     sets = (texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["one"]), "left_semi").select("raw")
-            .mapInArrow(run, "id bigint, hashes array<bigint>").join(_bounded(ids), "id", "left_semi"))
+            .mapInArrow(run, "id bigint, hashes array<bigint>").join(util.bounded(ids), "id", "left_semi"))
     sets = util.written(sets.dropDuplicates(["id"]))
 
     def similar(batches):
@@ -237,7 +230,7 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     first = util.written(_verified(docs, util.written(_first_round(some)), some, width, percent, seed))
     comps = util.written(graph.components(first))
     prefixes = _prefixes(docs, counts, width, percent, seed).dropDuplicates(["set_id"])
-    known = _bounded(comps)
+    known = util.bounded(comps)
     prefixes = util.written(prefixes.join(known, F.col("set_id") == F.col("node"), "left")
                             .select("set_id", F.coalesce("root", "set_id").alias("comp"), "n", "l", "tokens"))
     second = _verified(docs, util.written(_second_round(prefixes, percent)), some, width, percent, seed)

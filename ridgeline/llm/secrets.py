@@ -21,8 +21,9 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import util, words
@@ -340,3 +341,11 @@ def redact(text: str, crf: Crf, mark: str = "[SECRET]") -> str:
             out += [text[at:s], mark]
         at = max(at, e)
     return "".join(out) + text[at:]
+
+
+def redacted(text: Column, crf: Crf, mark: str = "[SECRET]") -> Column:
+    """A text column without its secrets; null stays null."""
+    @F.pandas_udf("string")
+    def cover(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: redact(x, crf, mark), na_action="ignore")
+    return cover(text)

@@ -19,6 +19,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -228,3 +229,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                                               pa.array([len(x[1]) for x in found], pa.int64())], ["doc_id", "score", "predicted", "n_passages"])
     scored = util.texts(docs).mapInArrow(run, "doc_id bigint, score double, predicted int, n_passages bigint")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_passages")
+
+
+def is_toxic(text: Column, model: Model, threshold: float = 0.5) -> Column:
+    """Whether a text scores ``threshold`` or more (null counts as empty)."""
+    @F.pandas_udf("boolean")
+    def judge(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: model.score(*model.passages(x)) >= threshold).astype(bool)
+    return judge(F.coalesce(text, F.lit("")))

@@ -47,14 +47,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the tables of finished operators (their results are written)."""
-    while _TABLES:
-        spark, path = _TABLES.pop()
-        if spark.sparkContext._jsc is None:
-            continue
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def tables() -> list[tuple[SparkSession, str]]:
+    """The written tables so far; a caller may pass a part of them to ``release``."""
+    return list(_TABLES)
+
+
+def release(old: list[tuple[SparkSession, str]]) -> None:
+    """Delete tables that only finished work has read."""
+    for spark, path in old:
+        _TABLES.remove((spark, path))
+        if spark.sparkContext._jsc is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if its counted rows
+    are at most ``rows``; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def body(docs: DataFrame, text: str = "text") -> Column:

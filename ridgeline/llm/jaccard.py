@@ -10,7 +10,8 @@ look through, but asks for more shared hashes before a pair is verified.  A
 pair needs as many as the smaller l of the two, so no link is lost.
 
 Near copies come in large groups, whose pairs must not be listed.  First, each
-class is verified against one representative per shared minimum hash; what is
+class is verified against one representative among those that share its minimum
+hashes, the one whose hashes are most common, as an original is; what is
 linked becomes one component.  Only pairs of different components that share
 prefix hashes are then counted and verified.
 """
@@ -30,7 +31,7 @@ ORDER_BUCKETS = 1 << 18
 #: Largest number of required matches; cost of verifying a pair against looking at a posting.
 MOST_MATCHES, VERIFY_COST = 8, 10.0
 #: Minimum hashes for the first round, and how many two classes must share there.
-SKETCH, SKETCH_SHARED = 8, 4
+SKETCH, SKETCH_SHARED = 12, 5
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -86,15 +87,15 @@ def _bytes(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def _measure(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """Per row: doc_id, n, set_id, check, sketch; and per task: bucket counts."""
-    schema = "doc_id bigint, n bigint, set_id bigint, check bigint, sketch array<bigint>, bucket array<int>, times array<bigint>"
+    """Per row: doc_id, n, set_id, check; and per task: bucket counts."""
+    schema = "doc_id bigint, n bigint, set_id bigint, check bigint, bucket array<int>, times array<bigint>"
 
     def run(batches):
         total = np.zeros(ORDER_BUCKETS, np.int64)
-        names = ["doc_id", "n", "set_id", "check", "sketch", "bucket", "times"]
+        names = ["doc_id", "n", "set_id", "check", "bucket", "times"]
         longs = pa.list_(pa.int64())
         for b in batches:
-            n, ids, check, low = [], [], [], []
+            n, ids, check = [], [], []
             seen = []
             for raw in b.column(1).to_pylist():
                 s = shingles(raw, width, seed)
@@ -102,43 +103,47 @@ def _measure(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 n.append(len(s))
                 ids.append(a)
                 check.append(c)
-                low.append(s[:SKETCH].view(np.int64))
                 seen.append(s)
             if seen:
                 flat = np.concatenate(seen)
                 total += np.bincount((flat & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64), minlength=ORDER_BUCKETS)
             nothing = pa.nulls(len(n), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), pa.array(low, longs), nothing, pa.nulls(len(n), longs)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(check, pa.int64()), nothing, pa.nulls(len(n), longs)], names)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, longs), pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[used]], longs)], names)
+            [pa.nulls(1, pa.int64())] * 4 + [pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[used]], longs)], names)
 
     return _bytes(docs).mapInArrow(run, schema)
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, seed: int) -> DataFrame:
-    """set_id, n, l, tokens (32-bit) of every row that has words."""
+    """set_id, n, l, tokens (32-bit), minimum hashes and commonness (mean log
+    count of its hashes) of every row that has words."""
     usual = np.median(counts[counts > 0]) if counts.any() else 0
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         counts = shared.value
         for b in batches:
-            ids, n, matches, tokens = [], [], [], []
+            ids, n, matches, tokens, low, common = [], [], [], [], [], []
             for raw in b.column(1).to_pylist():
                 s = shingles(raw, width, seed)
                 if not len(s):
                     continue
                 f = counts[(s & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64)]
                 order = np.argsort(f, kind="stable")
-                m, length = choose(np.maximum(f[order] - usual, 1), len(s), percent)
+                weights = np.maximum(f[order] - usual, 1)
+                m, length = choose(weights, len(s), percent)
+                low.append(s[:SKETCH].view(np.int64))
+                common.append(float(np.log(weights).mean()))
                 ids.append(set_id(s)[0])
                 n.append(len(s))
                 matches.append(m)
                 tokens.append((s[order[:length]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int32()), pa.array(tokens, pa.list_(pa.int32()))], ["set_id", "n", "l", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int32()), pa.array(tokens, pa.list_(pa.int32())),
+                                              pa.array(low, pa.list_(pa.int64())), pa.array(common, pa.float64())], ["set_id", "n", "l", "tokens", "sketch", "common"])
 
-    return _bytes(docs).mapInArrow(run, "set_id bigint, n bigint, l int, tokens array<int>")
+    return _bytes(docs).mapInArrow(run, "set_id bigint, n bigint, l int, tokens array<int>, sketch array<bigint>, common double")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
@@ -173,11 +178,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, width: int,
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
 
 
-def _first_round(members: DataFrame) -> DataFrame:
-    """Candidates (a, b): each class with the smallest class of its minimum
-    hashes, where the two share enough of them."""
-    low = members.select("set_id", "n", F.explode("sketch").alias("low")).distinct()
-    least = util.written(low.groupBy("low").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).filter("b < top").select("low", "b"))
+def _first_round(prefixes: DataFrame) -> DataFrame:
+    """Candidates (a, b): each class with the most common one (that whose
+    hashes are most frequent, as the original of many copies is) of those that
+    share a minimum hash, where the two share enough of them."""
+    low = prefixes.select("set_id", "n", "common", F.explode("sketch").alias("low"))
+    most = F.max_by("set_id", F.struct("common", "set_id")).alias("b")
+    least = util.written(low.groupBy("low").agg(most, F.count("*").alias("c")).filter("c > 1").select("low", "b"))
     met = low.join(least, "low").filter("set_id <> b").groupBy("set_id", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     enough = F.col("shared") >= F.least(F.lit(SKETCH_SHARED), F.col("n"))
     best = met.filter(enough).groupBy("set_id").agg(F.max(F.struct("shared", "b")).alias("best"))
@@ -188,18 +195,21 @@ def _second_round(prefixes: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of different components with enough shared prefix
     tokens.  A token's largest component meets the others; it isn't paired with
     itself, however large."""
-    posted = prefixes.select("set_id", "comp", "n", "l", F.explode("tokens").alias("token"))
+    posted = prefixes.select("set_id", "comp", "n", "l", F.size("tokens").alias("p"), F.explode("tokens").alias("token"))
     shared = util.written(posted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token"))
     mixed = util.written(posted.join(shared, "token"))
     main = util.written(mixed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main")))
     told = util.written(mixed.join(main, "token"))
-    x = told.filter("comp <> main").select("token", *[F.col(c).alias(c + "1") for c in ("set_id", "comp", "n", "l")])
-    y = told.select("token", F.col("main").alias("main2"), *[F.col(c).alias(c + "2") for c in ("set_id", "comp", "n", "l")])
+    x = told.filter("comp <> main").select("token", *[F.col(c).alias(c + "1") for c in ("set_id", "comp", "n", "l", "p")])
+    y = told.select("token", F.col("main").alias("main2"), *[F.col(c).alias(c + "2") for c in ("set_id", "comp", "n", "l", "p")])
     alike = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.col("comp1") != F.col("comp2"))
     with_main = x.join(y.filter("comp2 = main2"), "token").filter(alike)
     others = x.join(y.filter("comp2 <> main2"), "token").filter(alike & (F.col("set_id1") < F.col("set_id2")))
-    met = with_main.unionByName(others).select(
-        F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b"), F.least("l1", "l2").alias("need"))
+    # Of the two prefixes, the common hashes up to the end of the one that ends
+    # first are in both; beyond it that set has only its n - p last hashes.
+    overlap = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    need = F.greatest(F.least("l1", "l2"), overlap - F.greatest(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")))
+    met = with_main.unionByName(others).select(F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b"), need.alias("need"))
     return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
 
@@ -216,7 +226,7 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     seed = 0
     while True:
         measured = util.written(_measure(docs, width, seed))
-        members = measured.filter("set_id is not null").select("doc_id", "n", "set_id", "check", "sketch")
+        members = measured.filter("set_id is not null").select("doc_id", "n", "set_id", "check")
         if members.groupBy("set_id").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").isEmpty():
             break
         seed += 1  # two sets of one set_id: hash anew
@@ -227,12 +237,11 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     counts = np.zeros(ORDER_BUCKETS, np.int64)
     counts[buckets["bucket"].to_numpy(np.int64)] = buckets["times"].to_numpy(np.int64)
 
-    first = util.written(_verified(docs, util.written(_first_round(some)), some, width, percent, seed))
-    comps = util.written(graph.components(first))
-    prefixes = _prefixes(docs, counts, width, percent, seed).dropDuplicates(["set_id"])
-    known = util.bounded(comps)
-    prefixes = util.written(prefixes.join(known, F.col("set_id") == F.col("node"), "left")
-                            .select("set_id", F.coalesce("root", "set_id").alias("comp"), "n", "l", "tokens"))
+    prefixes = util.written(_prefixes(docs, counts, width, percent, seed).dropDuplicates(["set_id"]))
+    first = util.written(_verified(docs, util.written(_first_round(prefixes)), some, width, percent, seed))
+    known = util.bounded(util.written(graph.components(first)))
+    prefixes = (prefixes.join(known, F.col("set_id") == F.col("node"), "left")
+                .select("set_id", F.coalesce("root", "set_id").alias("comp"), "n", "l", "tokens"))
     second = _verified(docs, util.written(_second_round(prefixes, percent)), some, width, percent, seed)
     links = first.unionByName(second)
     roots = util.written(graph.components(links))

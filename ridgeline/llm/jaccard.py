@@ -12,7 +12,9 @@ pair needs as many as the smaller l of the two, so no link is lost.
 Near copies come in large groups, whose pairs must not be listed.  First, each
 class is verified against one representative among those that share its minimum
 hashes, the one whose hashes are most common, as an original is; what is
-linked becomes one component.  Only pairs of different components that share
+linked becomes one component.  Two classes with one representative can then
+only be similar if they share hashes that it hasn't, which are rare.  Otherwise,
+only pairs of different components that share
 prefix hashes are then counted and verified.
 """
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import graph, util
@@ -147,8 +149,9 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, see
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """The pairs (a, b) of set_ids whose sets are similar enough.  ``members``:
-    doc rows (doc_id, set_id); texts are read again for the classes in pairs."""
+    """Per pair (a, b) of set_ids: whether their sets are similar enough, the
+    size of the intersection, and the hashes that only a has.  ``members``: doc
+    rows (doc_id, set_id); texts are read again for the classes in pairs."""
     ids = util.written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     some = util.written(members.join(util.bounded(ids), F.col("set_id") == F.col("id"), "left_semi").groupBy("set_id").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")))
 
@@ -166,16 +169,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, width: int,
     def similar(batches):
         for b in batches:
             x, y = b.column(2), b.column(3)
-            keep = []
+            alike, both, rest = [], [], []
             for i in range(b.num_rows):
                 p, q = x[i].values.to_numpy(zero_copy_only=False), y[i].values.to_numpy(zero_copy_only=False)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                shared = np.intersect1d(p, q, assume_unique=True)
+                alike.append(100 * len(shared) >= percent * (len(p) + len(q) - len(shared)))
+                both.append(len(shared))
+                rest.append(np.setdiff1d(p, shared, assume_unique=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike, pa.bool_()), pa.array(both, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "alike", "both", "rest"])
 
     one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint, alike boolean, both bigint, rest array<bigint>")
 
 
 def _first_round(prefixes: DataFrame) -> DataFrame:
@@ -191,23 +196,45 @@ def _first_round(prefixes: DataFrame) -> DataFrame:
     return best.select(F.col("set_id").alias("a"), F.col("best.b").alias("b"))
 
 
+def _overlap(percent: int) -> Column:
+    """Least intersection of two similar sets of n1 and n2 hashes."""
+    return F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+
+
+def _beside_home(tried: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of one home but different components.  Their
+    intersection is at most the smaller one with the home, plus the hashes that
+    both have beside it; so they must share enough of those."""
+    own = tried.select(F.col("a").alias("set_id"), F.explode("rest").alias("token")).join(prefixes.select("set_id", "comp", "n", "home", "o"), "set_id")
+    own = util.written(own)
+    mixed = util.written(own.groupBy("home", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("home", "token"))
+    told = util.written(own.join(mixed, ["home", "token"]))
+    x, y = (told.select("home", "token", *[F.col(c).alias(c + i) for c in ("set_id", "comp", "n", "o")]) for i in "12")
+    alike = (F.col("set_id1") < F.col("set_id2")) & (F.col("comp1") != F.col("comp2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    met = x.join(y, ["home", "token"]).filter(alike).select(
+        F.col("set_id1").alias("a"), F.col("set_id2").alias("b"), (_overlap(percent) - F.least("o1", "o2")).alias("need"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
+
+
 def _second_round(prefixes: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of different components with enough shared prefix
     tokens.  A token's largest component meets the others; it isn't paired with
-    itself, however large."""
-    posted = prefixes.select("set_id", "comp", "n", "l", F.size("tokens").alias("p"), F.explode("tokens").alias("token"))
+    itself, however large.  Two classes of one home (representative) are left to
+    ``_beside_home`` unless what each shares with the home would be enough."""
+    posted = prefixes.select("set_id", "comp", "n", "l", "home", "o", F.size("tokens").alias("p"), F.explode("tokens").alias("token"))
     shared = util.written(posted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token"))
     mixed = util.written(posted.join(shared, "token"))
     main = util.written(mixed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main")))
     told = util.written(mixed.join(main, "token"))
-    x = told.filter("comp <> main").select("token", *[F.col(c).alias(c + "1") for c in ("set_id", "comp", "n", "l", "p")])
-    y = told.select("token", F.col("main").alias("main2"), *[F.col(c).alias(c + "2") for c in ("set_id", "comp", "n", "l", "p")])
+    x = told.filter("comp <> main").select("token", *[F.col(c).alias(c + "1") for c in ("set_id", "comp", "n", "l", "p", "home", "o")])
+    y = told.select("token", F.col("main").alias("main2"), *[F.col(c).alias(c + "2") for c in ("set_id", "comp", "n", "l", "p", "home", "o")])
     alike = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.col("comp1") != F.col("comp2"))
+    overlap = _overlap(percent)
+    alike &= ~F.coalesce(F.col("home1") == F.col("home2"), F.lit(False)) | (F.least("o1", "o2") >= overlap)
     with_main = x.join(y.filter("comp2 = main2"), "token").filter(alike)
     others = x.join(y.filter("comp2 <> main2"), "token").filter(alike & (F.col("set_id1") < F.col("set_id2")))
     # Of the two prefixes, the common hashes up to the end of the one that ends
     # first are in both; beyond it that set has only its n - p last hashes.
-    overlap = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
     need = F.greatest(F.least("l1", "l2"), overlap - F.greatest(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")))
     met = with_main.unionByName(others).select(F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b"), need.alias("need"))
     return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
@@ -238,12 +265,14 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     counts[buckets["bucket"].to_numpy(np.int64)] = buckets["times"].to_numpy(np.int64)
 
     prefixes = util.written(_prefixes(docs, counts, width, percent, seed).dropDuplicates(["set_id"]))
-    first = util.written(_verified(docs, util.written(_first_round(prefixes)), some, width, percent, seed))
+    tried = util.written(_verified(docs, util.written(_first_round(prefixes)), some, width, percent, seed))
+    first = tried.filter("alike").select("a", "b")
     known = util.bounded(util.written(graph.components(first)))
-    prefixes = (prefixes.join(known, F.col("set_id") == F.col("node"), "left")
-                .select("set_id", F.coalesce("root", "set_id").alias("comp"), "n", "l", "tokens"))
-    second = _verified(docs, util.written(_second_round(prefixes, percent)), some, width, percent, seed)
-    links = first.unionByName(second)
+    homes = util.bounded(util.written(tried.select(F.col("a").alias("x"), F.col("b").alias("home"), F.col("both").alias("o"))))
+    prefixes = (prefixes.join(known, F.col("set_id") == F.col("node"), "left").join(homes, F.col("set_id") == F.col("x"), "left")
+                .select("set_id", F.coalesce("root", "set_id").alias("comp"), "n", "l", "home", "o", "tokens"))
+    pairs = util.written(_second_round(prefixes, percent).unionByName(_beside_home(tried, prefixes, percent)).distinct())
+    links = first.unionByName(_verified(docs, pairs, some, width, percent, seed).filter("alike").select("a", "b"))
     roots = util.written(graph.components(links))
     placed = util.written(members.join(roots, F.col("set_id") == F.col("node"), "left")
                           .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "set_id").alias("root")))

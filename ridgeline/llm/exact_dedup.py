@@ -31,7 +31,8 @@ def normalised(text: Column) -> Column:
 
 
 def _measured(docs: DataFrame, block_bytes: int) -> DataFrame:
-    norm = util.texts(docs).withColumn("norm", normalised(F.col("text")))
+    # numbered here, below the explode: there each row is still one document
+    norm = util.texts(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("norm", normalised(F.col("text")))
     return norm.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.octet_length("norm") / block_bytes)).cast("int"))
 
 
@@ -62,7 +63,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     identity of its text (n_blocks, name)."""
     seed, names = _name_blocks(docs, block_bytes)
     keyed = (_measured(docs, block_bytes)
-             .select(F.monotonically_increasing_id().alias("row"), "doc_id", F.char_length("text").alias("n_points"),
+             .select("row", "doc_id", F.char_length("text").alias("n_points"),
                      F.sha2("norm", 256).alias("text_sha256"), "n_blocks",
                      F.posexplode(_cut(block_bytes, lambda b: F.struct(*_key(seed, b)))).alias("pos", "key"))
              .select("row", "n_blocks", "pos", "key.k1", "key.k2",

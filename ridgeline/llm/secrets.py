@@ -236,7 +236,10 @@ def windows(text: str) -> list[list[tuple[str, int]]]:
 
 
 def train(pieces: list[list[tuple[str, int]]]) -> Crf:
-    """CRF by gradient steps on the regularised likelihood of the windows."""
+    """CRF by gradient steps on the regularised likelihood of the windows;
+    without any, one that tags everything as outside."""
+    if not pieces:
+        return Crf({}, np.zeros((0, 3)), np.array([[0.0, -1, -1], [0, -1, -1], [0, -1, -1]]), frozenset())
     before = Counter(w[i - 1][0].strip(TRIM).lower() for w in pieces for i in range(1, len(w)) if w[i][1] == B)
     crf = Crf({}, np.zeros((0, 3)), np.zeros((3, 3)), frozenset(x for x, _ in before.most_common(CONTEXT_WORDS) if x))
     length = 2 * SIDE + 1

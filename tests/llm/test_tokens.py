@@ -15,6 +15,7 @@ from ridgeline.llm import bpe, packing, token_counts, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
+COUNT = token_counts.counter(PATH)
 
 
 def ids(text):
@@ -35,8 +36,7 @@ def test_encoders_equal_the_library(text):
     assert b.digests(text) == (len(ids(text)), hashlib.sha256(",".join(map(str, ids(text))).encode()).hexdigest(),
                                hashlib.sha256(TOK.decode(ids(text), skip_special_tokens=False).encode()).hexdigest())
     assert "".join(words.pieces(text)) == text
-    count = token_counts.counter(PATH)
-    assert token_counts.count_pieces([token_counts.cut_text(text)], count, {}) == [len(ids(text))]
+    assert token_counts.count_pieces([token_counts.cut_text(text)], COUNT, {}) == [len(ids(text))]
 
 
 def test_tables_are_bounded():

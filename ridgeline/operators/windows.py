@@ -266,8 +266,9 @@ def time_split(df: DataFrame, order: Sequence[str], folds: int = 3) -> DataFrame
     """Expanding-window folds over the global time order.
 
     Adds ``fold`` and ``role`` ('train' / 'test'): with n rows and
-    ``test_size = n // (folds + 1)``, fold i tests on positions
-    [(i+1)*test_size, (i+2)*test_size) and trains on everything before.
+    ``size = n // (folds + 1)``, the last ``folds * size`` rows are tested,
+    ``size`` in each fold, and a fold trains on everything before its test
+    block: the first train block takes the remainder, no row is left out.
     A row appears once per fold that uses it.  Positions come from the
     range-partitioned global index (no single-task sort)."""
     from ridgeline.plans.halo import global_positions
@@ -276,8 +277,9 @@ def time_split(df: DataFrame, order: Sequence[str], folds: int = 3) -> DataFrame
     ts_size = n // (folds + 1)
     fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
     x = pos.withColumn("fold", fold)
-    x = x.filter(F.col("_gpos") < (F.col("fold") + 2) * ts_size)
-    role = F.when(F.col("_gpos") < (F.col("fold") + 1) * ts_size, "train").otherwise("test")
+    start = F.lit(n - folds * ts_size) + F.col("fold") * ts_size
+    x = x.filter(F.col("_gpos") < start + ts_size)
+    role = F.when(F.col("_gpos") < start, "train").otherwise("test")
     return x.withColumn("role", role).drop("_gpos")
 
 

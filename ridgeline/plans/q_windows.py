@@ -245,8 +245,8 @@ def cadence_snapshot(spark, sf):
 idx AS (SELECT *, row_number() OVER (ORDER BY ts, seq) - 1 AS gpos, count(*) OVER () AS n FROM readings)""",
                                  "folds AS (SELECT unnest([0, 1, 2]) AS fold)", body="""
 SELECT fold, role, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM (
-  SELECT f.fold, CASE WHEN gpos < (f.fold + 1) * (n // 4) THEN 'train' ELSE 'test' END AS role, ts
-  FROM idx, folds f WHERE gpos < (f.fold + 2) * (n // 4)) x
+  SELECT f.fold, CASE WHEN gpos < n - (3 - f.fold) * (n // 4) THEN 'train' ELSE 'test' END AS role, ts
+  FROM idx, folds f WHERE gpos < n - (2 - f.fold) * (n // 4)) x
 GROUP BY ALL"""))
 def time_split(spark, sf):
     return W.time_split_summary(T.readings(spark, sf), ORDER, 3)

@@ -60,15 +60,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     (survives executor loss; never ``localCheckpoint``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give CPU-heavy row-local work at least one partition per core.
-
-    On a cluster the scan already yields thousands of splits and this is a
-    no-op; a single-file input (one row group = one task) is hash
-    partitioned on ``key`` (deterministic on retry) before the expansion."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)

@@ -97,3 +97,13 @@ def test_ring_buffer_state_carries_across_micro_batches():
     assert len(st.get[0]) == L.RING and st.get[0][-1] == df["kex"].iloc[-1]
     exp1 = df["kex"].shift(1).fillna(df["kex"]).to_numpy()
     assert np.array_equal(many["kex_lag1"].to_numpy(), exp1)
+
+
+def test_time_folds_leave_no_row_out(spark):
+    """998 rows, three folds: the remainder trains first, the last row is tested."""
+    from ridgeline.operators import ml, windows
+    df = spark.range(998).selectExpr("id as seq", "timestamp_seconds(id) as ts")
+    got = {(r.fold, r.role): r.n_rows for r in windows.time_split_summary(df, ["ts", "seq"], 3).collect()}
+    assert got == {(f, r): n for f, before in enumerate((251, 500, 749)) for r, n in (("train", before), ("test", 249))}
+    folds = ml.expanding_folds(df.withColumnRenamed("seq", "_gpos"), 3)
+    assert [(a.count(), b.count()) for a, b in folds] == [(251, 249), (500, 249), (749, 249)]

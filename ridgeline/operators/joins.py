@@ -39,12 +39,6 @@ METRIC_IDS = {"concentrate": 0, "recovery": 1, "feed_grade": 2, "kex": 3, "sipx"
 # ---------------------------------------------------------------------------
 
 
-def rules_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ALERT_RULES, "metric string, priority int, lo double, hi double, severity string, type string, "
-                     "recommendation string, decimals int")
-
-
 def metric_long(df: DataFrame, metrics: dict[str, Column], keys: Sequence[str] = ("seq", "asset_id", "ts")) -> DataFrame:
     """Unpivot named metric Columns to (keys, metric, value), nulls dropped."""
     w = df.select(*keys, *[c.cast("double").alias(n) for n, c in metrics.items()])
@@ -53,15 +47,19 @@ def metric_long(df: DataFrame, metrics: dict[str, Column], keys: Sequence[str] =
 
 
 def threshold_alerts(df: DataFrame, metrics: dict[str, Column], keys=("seq", "asset_id", "ts")) -> DataFrame:
-    """Theta join of metric values to the rule catalogue (broadcast hash
-    join on metric, range as join condition), first matching rule wins."""
-    rules = rules_table(df.sparkSession)
-    long = metric_long(df, metrics, keys)
-    j = long.join(F.broadcast(rules), (long.metric == rules.metric) & (long.value > rules.lo) & (long.value < rules.hi))
-    j = j.select(*[long[k] for k in keys], long.metric, long.value, rules.priority, rules.severity, rules.type,
-                 rules.recommendation, rules.decimals)
-    first = j.groupBy(*keys, "metric").agg(
-        F.min_by(F.struct("value", "severity", "type", "recommendation", "decimals"), "priority").alias("r"))
+    """The first matching rule of each metric, as one CASE chain over the
+    constant catalogue per metric; no join and no shuffle."""
+    hits = []
+    for name in metrics:
+        v, first = F.col("_" + name), F.lit(None)
+        for m, _, lo, hi, severity, kind, advice, decimals in sorted(ALERT_RULES, key=lambda r: -r[1]):
+            if m == name:
+                rule = F.struct(v.alias("value"), F.lit(severity).alias("severity"), F.lit(kind).alias("type"),
+                                F.lit(advice).alias("recommendation"), F.lit(decimals).alias("decimals"))
+                first = F.when((v > lo) & (v < hi), rule).otherwise(first)
+        hits.append(F.struct(F.lit(name).alias("metric"), first.alias("r")))
+    values = df.select(*keys, *[c.cast("double").alias("_" + name) for name, c in metrics.items()])
+    first = values.select(*keys, F.inline(F.array(*hits))).filter(F.col("r").isNotNull())
     mid = F.lit(0)
     for name, i in METRIC_IDS.items():
         mid = F.when(F.col("metric") == name, F.lit(i)).otherwise(mid)
@@ -150,5 +148,5 @@ def retention_counts(tables: dict[str, DataFrame], cutoff: Column, ts: str = "ts
 
 
 def retain(df: DataFrame, cutoff: Column, ts: str = "ts") -> DataFrame:
-    """P10: the kept rows (written back with dynamic partition overwrite)."""
-    return df.filter(F.col(ts) >= cutoff)
+    """P10: the kept rows; a row without a timestamp isn't older than the cut-off and stays."""
+    return df.filter(F.coalesce(F.col(ts) >= cutoff, F.lit(True)))

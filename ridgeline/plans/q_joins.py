@@ -3,15 +3,21 @@ P10, A3, A19)."""
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions import process as P
 from ridgeline.operators import clean as C
 from ridgeline.operators import joins as J
 from ridgeline.plans import oracle as O
-from ridgeline.plans.q_clean import CALC, SETTINGS
+from ridgeline.plans.q_clean import CALC, PREDS, SETTINGS
 from ridgeline.plans.registry import query
+from ridgeline.sources import sinks as SK
 from ridgeline.sources import tables as T
+from ridgeline.streaming.live import scratch
 
 R = O.READINGS
 FIN = "fin AS (SELECT seq, asset_id, ts, " + ", ".join(
@@ -169,3 +175,27 @@ def retention_counts(spark, sf):
     r = T.readings(spark, sf)
     tabs = {"sensor": r, "calculated": T.calc(r), "optimization": T.settings(r)}
     return J.retention_counts(tabs, F.lit(CUTOFF).cast("timestamp_ntz"))
+
+
+#: Within a day, so that whole days go and one is rewritten.
+CUTOFF_IN_DAY = datetime(2024, 1, 23, 6, 30)
+
+
+@query("retention_apply", O.with_ctes(R, SETTINGS, PREDS, body=" UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, count(*) AS n_rows, min(ts) AS first_ts FROM {t} "
+    f"WHERE ts >= TIMESTAMP '{CUTOFF_IN_DAY}' GROUP BY ALL"
+    for n, t in (("sensor", "readings"), ("settings", "settings"), ("predictions", "preds"), ("events", "events")))))
+def retention_apply(spark, sf):
+    """P10: four append tables are written by day, expired rows deleted, and
+    what is left counted per day."""
+    r = T.readings(spark, sf)
+    tables = {"sensor": r.select("seq", "ts"), "settings": T.settings(r).select("seq", "ts"),
+              "predictions": T.preds(r).select("seq", "ts", "horizon"), "events": T.load(spark, sf, "events").select("event_id", "ts")}
+    base, left = scratch(spark, "retention"), []
+    for name, df in tables.items():
+        path = f"{base}/{name}"
+        SK.append_table(df.withColumn("dt", F.to_date("ts")), path)
+        SK.apply_retention(spark, path, CUTOFF_IN_DAY, "ts")
+        left.append(spark.read.parquet(path).groupBy(F.lit(name).alias("table_name"), F.col("dt").cast("string").alias("dt")).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts")))
+    return reduce(DataFrame.unionByName, left)

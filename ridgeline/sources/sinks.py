@@ -7,10 +7,14 @@ append tables so retention (P10) and time-range reads prune whole folders.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.operators.joins import retain
+from ridgeline.session import reliable_checkpoint
+
 # --- fixed values that must equal the reference's ---------------------------
 # Long export rows: (column, parameter label, unit), in this order.
 EXPORT_ROWS = [("grade", "Pb Concentrate", "%"), ("kex", "KEX Flowrate", "L/min"), ("sipx", "SIPX Flowrate", "L/min"),
@@ -100,3 +104,27 @@ def append_table(df: DataFrame, path: str) -> None:
 def overwrite_partitions(df: DataFrame, path: str) -> None:
     """P10 write-back: replace only the partitions present in ``df``."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path))
+
+
+def apply_retention(spark: SparkSession, path: str, cutoff: datetime, ts: str = "timestamp") -> None:
+    """P10: delete the rows of the append table at ``path`` older than ``cutoff``.
+
+    Day folders that are wholly expired are dropped without reading them; only
+    the day of the cut-off is rewritten, from a checkpoint in the shared
+    folder.  Rows without a timestamp stay.  Running it again changes nothing.
+    """
+    edge, when = F.lit(cutoff.date()), F.lit(cutoff).cast("timestamp_ntz")
+    table = spark.read.parquet(path)
+    expired = [r.dt for r in table.filter(F.col("dt") < edge).select("dt").distinct().collect()]  # one value per day folder
+    day = table.filter(F.col("dt") == edge)
+    if not day.filter(F.col(ts) < when).isEmpty():
+        kept = reliable_checkpoint(retain(day, when, ts))
+        if kept.isEmpty():
+            expired.append(cutoff.date())
+        else:
+            overwrite_partitions(kept, path)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for dt in expired:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={dt}")
+        folder.getFileSystem(hadoop).delete(folder, True)
+    spark.catalog.refreshByPath(path)

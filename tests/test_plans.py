@@ -21,8 +21,9 @@ def test_projection_prunes_columns(spark):
     assert "props" not in schema and "event_type" not in schema
 
 
-def test_alert_catalogue_is_broadcast(spark):
-    assert "BroadcastHashJoin" in _plan(spark, "threshold_alerts")
+def test_alert_rules_need_no_join_and_no_shuffle(spark):
+    p = _plan(spark, "threshold_alerts")
+    assert "Join" not in p and "Exchange" not in p
 
 
 def test_dedupe_is_partial_aggregate(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import process as P
@@ -50,7 +50,7 @@ def threshold_alerts(df: DataFrame, metrics: dict[str, Column], keys=("seq", "as
     """The first matching rule of each metric, as one CASE chain over the
     constant catalogue per metric; no join and no shuffle."""
     hits = []
-    for name in metrics:
+    for name in [m for m in metrics if m in METRIC_IDS]:
         v, first = F.col("_" + name), F.lit(None)
         for m, _, lo, hi, severity, kind, advice, decimals in sorted(ALERT_RULES, key=lambda r: -r[1]):
             if m == name:
@@ -139,6 +139,13 @@ def alert_summary(alerts: DataFrame, shown: int = 5) -> DataFrame:
         F.greatest(F.col("n_alerts") - shown, F.lit(0)).alias("n_more"))
 
 
+def first_alerts(alerts: DataFrame, shown: int = 5) -> DataFrame:
+    """The alerts shown per metric, the ``shown`` earliest.  The group
+    limit keeps that many per metric and task before the shuffle."""
+    w = Window.partitionBy("metric").orderBy("ts", "alert_id")
+    return alerts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= shown)
+
+
 def retention_counts(tables: dict[str, DataFrame], cutoff: Column, ts: str = "ts") -> DataFrame:
     """P10: rows older than the cut-off per table (deleted) and kept."""
     from functools import reduce

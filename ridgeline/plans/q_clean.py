@@ -45,11 +45,10 @@ def clean_inf(spark, sf):
     return C.inf_to_null(T.readings(spark, sf))
 
 
-@query("drop_empty_cols", O.with_ctes(R, body="""
-SELECT seq, asset_id, ts, feed_pb, kex, sipx, air_flow FROM readings WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'"""))
+@query("drop_empty_cols", O.with_ctes(R, body=f"SELECT seq, asset_id, ts, {', '.join(TAGS)} FROM readings"))
 def drop_empty_cols(spark, sf):
-    _, m2 = T.readings_months(T.readings(spark, sf))
-    return C.drop_empty_columns(m2)
+    r = T.readings(spark, sf).select("seq", "asset_id", "ts", *TAGS)
+    return C.drop_empty_columns(r.withColumn("spare", F.lit(None).cast("double")))
 
 
 _VALID = " AND ".join(f"{c} IS NOT NULL AND NOT isinf({c}) AND NOT isnan({c})" for c in TAGS)

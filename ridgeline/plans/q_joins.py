@@ -104,6 +104,13 @@ def alert_summary(spark, sf):
     return J.alert_summary(alerts(spark, sf))
 
 
+@query("alerts_shown", O.with_ctes(*ACTES, body="""
+SELECT metric, CAST(row_number() OVER (PARTITION BY metric ORDER BY ts, alert_id) AS INTEGER) AS place, alert_id, ts, severity, alert_type, description
+FROM alerts QUALIFY place <= 5"""))
+def alerts_shown(spark, sf):
+    return J.first_alerts(alerts(spark, sf)).select("metric", "place", "alert_id", "ts", "severity", "alert_type", "description")
+
+
 CALCS = f"""
 calcs AS (SELECT seq, asset_id, ts, grade, recovery, {O.status_reagent('grade', 'recovery * 100.0', 'kex', 'sipx')} AS status
           FROM {O.cadence_rows('kfin', T.CALC_MINUTES)} c)"""

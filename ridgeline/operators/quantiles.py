@@ -2,28 +2,28 @@
 
 ``percentile`` keeps a value->count map per group and merges it in one task,
 which is unbounded for continuous data.  Here each round is one scan with
-partial aggregation: ``groupBy(search, bin).count()`` over ``BINS`` equal-width
-bins of the current candidate range; the bin holding the wanted rank becomes
-the next range.  Once a candidate set is at most ``COLLECT_LIMIT`` rows it is
-fetched (at most ``COLLECT_LIMIT`` values per set) and the rank read
-exactly.  Searches that share a column and candidate range share one
-histogram and one fetch.  Results use linear
-interpolation between order statistics (pandas ``quantile`` / DuckDB
-``quantile_cont``).
+partial aggregation: ``groupBy(search, bin).count()`` over ``BINS`` bins of the
+current candidate range; the bin holding the wanted rank becomes the next
+range, from its least to its greatest value, until those are equal.  Tables of
+every size take this one path; no values are fetched, only counts of bins.
+Rounds alternate between equal widths and equal ratios, so a few are enough for
+any spread of values.  Searches that share a column and candidate range share
+one histogram.  Results use linear interpolation between order statistics
+(pandas ``quantile`` / DuckDB ``quantile_cont``).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import count
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
-COLLECT_LIMIT = 10_000
-MAX_ROUNDS = 12
+#: Over the logarithm of the smallest double, so that signed logarithms keep order.
+LOG_SHIFT = 746.0
 
 
 def column_profile(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, float, float]]:
@@ -47,25 +47,21 @@ def exact_order_stats(df: DataFrame, ranks: dict[str, Sequence[int]],
         for r in ranks[c]:
             if not n or r < 0 or r >= n:
                 raise ValueError(f"rank {r} outside 0..{n - 1} for {c}")
-            searches.setdefault((c, r), {"conds": [], "lo": lo, "hi": hi, "below": 0,
-                                          "size": n, "value": None if lo != hi else lo})
-    for _ in range(MAX_ROUNDS):
-        active = [(k, s) for k, s in searches.items() if s["value"] is None and s["size"] > COLLECT_LIMIT]
+            searches.setdefault((c, r), {"lo": lo, "hi": hi, "below": 0, "value": lo if _same(lo, hi) else None})
+    for turn in count():
+        active = [(k, s) for k, s in searches.items() if s["value"] is None]
         if not active:
             break
         # searches of one column over the same candidate range share one
         # histogram: a row emits at most one entry per column and range
         hists: dict[tuple, int] = {}
         for key, s in active:
-            hists.setdefault((key[0], tuple(s["conds"]), s["lo"], s["hi"]), len(hists))
+            hists.setdefault((key[0], s["lo"], s["hi"]), len(hists))
         items = []
-        for (c, conds, lo, hi), hid in hists.items():
-            v = F.col(c)
-            cond = v.isNotNull()
-            for clo, chi, b in conds:
-                cond = cond & (_bin(v, clo, chi) == b)
-            items.append(F.when(cond, F.struct(F.lit(hid).alias("sid"), _bin(v, lo, hi).alias("b"),
-                                               v.cast("double").alias("v"))))
+        for (c, lo, hi), hid in hists.items():
+            v = F.col(c).cast("double")
+            items.append(F.when(v.between(F.lit(float(lo)), F.lit(float(hi))),
+                                F.struct(F.lit(hid).alias("sid"), _bin(v, float(lo), float(hi), turn % 2 == 1).alias("b"), v.alias("v"))))
         hist = (df.select(F.explode(F.array(*items)).alias("x")).filter(F.col("x").isNotNull())
                   .groupBy("x.sid", "x.b")
                   .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("mn"), F.max("x.v").alias("mx"))
@@ -74,41 +70,17 @@ def exact_order_stats(df: DataFrame, ranks: dict[str, Sequence[int]],
         for row in hist:
             by_sid.setdefault(row["sid"], []).append((row["b"], row["n"], row["mn"], row["mx"]))
         for key, s in active:
-            hid = hists[(key[0], tuple(s["conds"]), s["lo"], s["hi"])]
+            hid = hists[(key[0], s["lo"], s["hi"])]
             target = key[1] - s["below"]
             acc = 0
             for b, n, mn, mx in sorted(by_sid.get(hid, [])):
                 if acc + n > target:
-                    s["conds"].append((s["lo"], s["hi"], b))
                     s["below"] += acc
-                    s["size"] = n
                     s["lo"], s["hi"] = mn, mx
                     break
                 acc += n
-            if s["hi"] <= s["lo"]:
+            if _same(s["lo"], s["hi"]):
                 s["value"] = s["lo"]
-    # fetch the small candidate sets (each at most COLLECT_LIMIT rows) in one
-    # job; searches of one column that share their candidate set share a fetch
-    pending = [(k, s) for k, s in searches.items() if s["value"] is None]
-    if pending:
-        sets: dict[tuple, int] = {}
-        for key, s in pending:
-            sets.setdefault((key[0], tuple(s["conds"])), len(sets))
-        items = []
-        for (c, conds), sid in sets.items():
-            v = F.col(c)
-            cond = v.isNotNull()
-            for lo, hi, b in conds:
-                cond = cond & (_bin(v, lo, hi) == b)
-            items.append(F.when(cond, F.struct(F.lit(sid).alias("sid"), v.cast("double").alias("v"))))
-        pdf = (df.select(F.explode(F.array(*items)).alias("x")).filter(F.col("x").isNotNull())
-                 .select("x.sid", "x.v").toPandas())          # Arrow batches, bounded size
-        pdf = pdf.sort_values(["sid", "v"], kind="stable")
-        sid_arr, v_arr = pdf["sid"].to_numpy(), pdf["v"].to_numpy()
-        for key, s in pending:
-            sid = sets[(key[0], tuple(s["conds"]))]
-            lo_i, hi_i = np.searchsorted(sid_arr, sid, "left"), np.searchsorted(sid_arr, sid, "right")
-            s["value"] = float(v_arr[lo_i:hi_i][key[1] - s["below"]])
     return {c: {r: searches[(c, r)]["value"] for r in ranks[c]} for c in cols}
 
 
@@ -140,8 +112,25 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return out
 
 
-def _bin(v, lo: float, hi: float):
-    if hi <= lo:
+def _same(lo: float, hi: float) -> bool:
+    return lo == hi or lo != lo  # a range that starts at NaN holds nothing else
+
+
+def _bin(v: Column, lo: float, hi: float, by_magnitude: bool) -> Column:
+    """Bin 0..BINS-1 of a value in lo..hi (lo < hi), never falling as v grows:
+    equal widths, or equal widths of the signed logarithm.  Infinite and NaN
+    ends are split off first."""
+    if math.isinf(hi) or math.isnan(hi):
+        return F.when(v == F.lit(hi), F.lit(1)).otherwise(F.lit(0))
+    if math.isinf(lo):
+        return F.when(v == F.lit(lo), F.lit(0)).otherwise(F.lit(1))
+    if by_magnitude:
+        to = lambda x: math.copysign(math.log(abs(x)) + LOG_SHIFT, x) if x else 0.0
+        v = F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.log(F.abs(v)) + LOG_SHIFT))
+        lo, hi = to(lo), to(hi)
+    by = 1e20 if max(abs(lo), abs(hi)) < 1e280 and hi - lo < 1e-280 else 0.5  # neither under- nor overflow
+    width = (hi * by - lo * by) / BINS
+    if width <= 0:
         return F.lit(0)
-    b = F.floor((v - F.lit(lo)) / F.lit((hi - lo) / BINS)).cast("int")
+    b = F.floor((v * by - F.lit(lo * by)) / F.lit(width)).cast("int")
     return F.least(F.greatest(b, F.lit(0)), F.lit(BINS - 1))

@@ -47,12 +47,7 @@ def test_exact_quantiles_refinement_matches_pandas(spark):
     pdf = pd.DataFrame({"a": rng.normal(size=30001), "b": np.round(rng.uniform(0, 3, size=30001), 2)})
     pdf.loc[::5, "a"] = np.nan
     df = spark.createDataFrame(pdf).selectExpr("nanvl(a, null) as a", "b")
-    old = Q.COLLECT_LIMIT
-    Q.COLLECT_LIMIT = 300          # force several refinement rounds
-    try:
-        res = Q.exact_quantiles(df, ["a", "b"], [0.1, 0.5, 0.9])
-    finally:
-        Q.COLLECT_LIMIT = old
+    res = Q.exact_quantiles(df, ["a", "b"], [0.1, 0.5, 0.9])
     for c in "ab":
         assert np.allclose(res[c], pdf[c].quantile([0.1, 0.5, 0.9]).tolist(), atol=1e-12)
 
@@ -82,24 +77,34 @@ def test_alert_rules_first_match_per_metric(spark):
     assert a.groupBy("seq", "metric").count().filter("count > 1").count() == 0
 
 
-def test_quantile_search_fetches_bounded_candidates(spark, monkeypatch):
-    # the driver only ever receives candidate sets of at most COLLECT_LIMIT
-    # values, however large the column (here 10x the limit, 9 deciles)
-    n, limit = 20000, 2000
-    rng = np.random.default_rng(11)
-    pdf = pd.DataFrame({"x": rng.normal(size=n)})
+def test_quantile_search_fetches_counts_of_bins_only(spark, monkeypatch):
+    n = 20000
+    pdf = pd.DataFrame({"x": np.random.default_rng(11).normal(size=n)})
     df = spark.createDataFrame(pdf)
     cls = type(df)                      # the concrete (classic) DataFrame class
-    fetched = []
-    real = cls.toPandas
+    fetched, real = [], cls.collect
 
     def spy(self):
         out = real(self)
         fetched.append(len(out))
         return out
-    monkeypatch.setattr(cls, "toPandas", spy)
-    monkeypatch.setattr(Q, "COLLECT_LIMIT", limit)
+    monkeypatch.setattr(cls, "collect", spy)
+    monkeypatch.setattr(cls, "toPandas", lambda self: pytest.fail("values fetched"))
+    monkeypatch.setattr(Q, "BINS", 64)
     probs = [i / 10 for i in range(1, 10)]
     res = Q.exact_quantiles(df, ["x"], probs)
-    assert len(fetched) == 1 and fetched[0] <= limit * len(probs)   # one fetch, each set <= limit
+    assert max(fetched) <= 64 * 2 * len(probs)
     assert np.allclose(res["x"], pdf["x"].quantile(probs).tolist(), atol=1e-12)
+
+
+def test_order_statistics_of_any_spread(spark):
+    rng = np.random.default_rng(3)
+    wide = 10.0 ** rng.uniform(-300, 300, 3000) * rng.choice([-1, 1], 3000)
+    cols = {"wide": wide, "ties": np.repeat([1.0, 1.0 + 2 ** -52, 7.0], 1000),
+            "ends": np.concatenate([[-np.inf] * 5, rng.normal(size=2980), [np.inf] * 10, [np.nan] * 5]),
+            "tiny": rng.integers(0, 50, 3000) * 5e-324, "huge": rng.choice([-1.7e308, 0.0, 1.7e308], 3000)}
+    df = spark.createDataFrame(list(zip(*[x.tolist() for x in cols.values()], strict=True)), list(cols))
+    ranks = [0, 1, 700, 1500, 2990, 2999]
+    got = Q.exact_order_stats(df, {c: ranks for c in cols})
+    for c, x in cols.items():
+        assert np.array_equal([got[c][r] for r in ranks], np.sort(x)[ranks], equal_nan=True), c

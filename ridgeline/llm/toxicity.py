@@ -35,6 +35,8 @@ MAX_FEATURES = 20_000
 BEGINNINGS, PRIOR_DOCS, LEAST_G2 = range(3, 9), 2.0, 30.0
 #: Texts in which a beginning must occur besides those of its most frequent extension.
 LEAST_REST = 3
+#: Intercept of the curve where the labels give none below 0: no evidence means clean.
+CLEAN = -3.0
 _WORD = re.compile(r"[^\W\d_]+")
 _TABLES: dict[str, words.Table] = {}
 
@@ -89,7 +91,7 @@ class Model:
     gap: float = -0.05
     rate: float = 1.0  # Gumbel decay; log-odds scores make it 1
     k: float = 1e-3
-    curve: tuple[float, float] = (-3.0, 2.0)
+    curve: tuple[float, float] = (CLEAN, 2.0)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def weight(self, token: str) -> float:
@@ -151,23 +153,33 @@ def _weights(counts: list[tuple[str, int, int]], p0: float) -> dict[str, float]:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Ridge logistic regression of y on (1, x) by Newton's method."""
-    a = np.stack([np.ones_like(x), x], 1)
-    w = np.zeros(2)
+def _newton(a: np.ndarray, y: np.ndarray, offset: float = 0.0) -> np.ndarray:
+    """Ridge logistic regression of y on the columns of ``a`` by Newton's method."""
+    w = np.zeros(a.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2), a.T @ (y - p) - 0.01 * w)
+        p = 1 / (1 + np.exp(-np.clip(offset + a @ w, -30, 30)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(len(w)), a.T @ (y - p) - 0.01 * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Logistic curve of y on x.  Where mostly toxic labels would call a text
+    without evidence toxic, the intercept is CLEAN and only the slope is fitted."""
+    w = _newton(np.stack([np.ones_like(x), x], 1), y)
+    if w[0] < 0:
+        return float(w[0]), float(w[1])
+    return CLEAN, float(_newton(x[:, None], y, CLEAN)[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Model from the labelled rows that are not held out (at most
-    ``train_rows``).  Copies and near copies count once.  Without both classes
-    the model finds nothing and scores every text alike."""
+    ``train_rows``).  Copies and near copies count once.  No evidence means
+    clean: without usable rows of both classes the model finds nothing and
+    every text gets the same score, well below 0.5; with them, a text without
+    evidence (a null or empty one, too) scores below 0.5 however many labels are toxic."""
     sample = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out())
               .groupBy(F.col("doc_id").cast("bigint").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
               .orderBy(F.xxhash64("label_id"), "label_id").limit(train_rows))
@@ -197,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
                           .groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t > 0 or f = ''"))
     n = counts.filter("f = ''").first()
     if n is None or not n.t or not n.c:
-        return Model({}, curve=(math.log((n.t + 1) / (n.c + 1)) if n else 0.0, 0.0))
+        return Model({}, curve=(CLEAN, 0.0))
     p0 = n.t / (n.t + n.c)
     m = F.col("t") + F.col("c")
     g2 = 2 * (F.col("t") * F.log(F.col("t") / (m * p0)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (m * (1 - p0)))).otherwise(0.0))

@@ -265,6 +265,21 @@ def test_toxicity(spark, edge_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0 and toxicity.fit(no_docs, marks).weights == {}
 
 
+def test_no_evidence_means_clean(spark, edge_docs, tmp_path):
+    """Without clean and toxic labels drop_toxic keeps every row; with mostly toxic ones, null and empty texts stay."""
+    import corpus_pipeline
+    rows = [(r.doc_id, r.text) for r in edge_docs.collect()] + [(100 + i, f"vileword number{i} here and more{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for name, labels in (("none", []), ("elsewhere", [(5000 + i, i % 2) for i in range(20)]), ("toxic", [(100 + i, 1) for i in range(40)]), ("clean", [(100 + i, 0) for i in range(40)])):
+        marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{name}").count() == len(rows), name
+        assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, marks)).collect()} == {0}
+    mostly = spark.createDataFrame([(100 + i, int(i % 8 > 0)) for i in range(40)], "doc_id bigint, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, mostly)).collect()
+    assert all(r.predicted == 0 for r in got if r.doc_id in (1, 2, 3))
+
+
 @pytest.mark.parametrize("limit", [50, 5000, 10 ** 9])
 def test_shards(edge_docs, edge_rows, no_docs, limit):
     rows = sharding.shards(edge_docs, limit, 3).collect()

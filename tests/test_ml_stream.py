@@ -107,3 +107,23 @@ def test_time_folds_leave_no_row_out(spark):
     assert got == {(f, r): n for f, before in enumerate((251, 500, 749)) for r, n in (("train", before), ("test", 249))}
     folds = ml.expanding_folds(df.withColumnRenamed("seq", "_gpos"), 3)
     assert [(a.count(), b.count()) for a, b in folds] == [(251, 249), (500, 249), (749, 249)]
+
+
+def test_model_queries_search_every_family(spark, monkeypatch):
+    """Grids of small trees: all draws of all families in five folds, the best one refitted and registered."""
+    import json
+    from conftest import SF_SMALL
+    assert [len(ML.candidates(f)) for f in ML.FAMILIES] == [7, 10, 10]
+    assert all(p["n_estimators"] >= 200 for f in ML.FAMILIES[1:] for p in ML.candidates(f))
+    monkeypatch.setattr(ML, "RF_GRID", {"n_estimators": [2, 3], "max_depth": [2], "min_samples_split": [2, 5, 10]})
+    monkeypatch.setattr(ML, "XGB_GRID", {"n_estimators": [2, 3], "max_depth": [2], "reg_alpha": [0, 0.1, 0.5]})
+    monkeypatch.setattr(q_ml, "HORIZON_ROWS", {5: 1})
+    got = q_ml.cv_search(spark, SF_SMALL).collect()
+    assert {(r.model, r.candidate) for r in got} == {(f, i) for f, n in zip(ML.FAMILIES, (7, 10, 10)) for i in range(n)}
+    assert all(r.folds == ML.CV_FOLDS == 5 for r in got)
+    best = {f: max((r for r in got if r.model == f), key=lambda r: (r.mean_r2, -r.candidate)).params for f in ML.FAMILIES}
+    rf = q_ml.train_rf(spark, SF_SMALL).collect()
+    assert {r.params for r in rf} == {best["random_forest"]} and len(rf) == 3
+    row = q_ml.model_registry_fit(spark, SF_SMALL).first()
+    assert row.model_type in ML.FAMILIES and row.params == best[row.model_type]
+    assert row.val_r2 >= next(r.r2 for r in rf if r.split == "validation")

@@ -215,6 +215,27 @@ def test_pii_terms(spark):
     assert "joe@" not in clean and "Quillon" not in clean and "[...] [EMAIL]" in clean
 
 
+def test_pii_terms_in_any_form(spark):
+    """Forms of a word count together and all go; identifiers count; three words are three words, however long."""
+    from pyspark.sql import functions as F
+    rng = random.Random(2)
+    word = lambda: rng.choice("lorem ipsum dolor sit amet elit sed do".split())
+    long = ["loremipsumdolorsitamet" * 2, "consecteturadipiscing" * 2]
+    forms = ["Quillon", "Quillon,", "quillon", "(QUILLON)"]
+    rows = [(i, " ".join([*(word() for _ in range(20)), *([forms[i % 4], *long, "joe@example.com", "-", "Emp-4471;", "acct#88"] if i < 12 else long * (i % 3)), *(word() for _ in range(20))])) for i in range(300)]
+    rows.append((900, "lorem [quillon] emp-4471 x4111 1111 1111 1111 acct#88."))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = dict(rows)
+    got = {r.doc_id: r.spans for r in pii.scan(docs).collect()}
+    terms = {d: [texts[d][int(x.split(":")[1]):int(x.split(":")[2])] for x in s.split(",") if x.startswith("term")] for d, s in got.items()}
+    assert all(terms[i] == [forms[i % 4].strip("(),"), "Emp-4471", "acct#88"] for i in range(12))
+    assert terms[900] == ["quillon", "emp-4471", "acct#88"] and not any(terms[i] for i in range(12, 300))
+    clean = docs.filter("doc_id = 900").select(pii.sanitise(F.col("text"), F.lit(got[900])).alias("t")).first().t
+    assert clean == "lorem [[...]] [...] x[CARD] [...]."
+    over = spark.range(1).select(pii.sanitise(F.lit("a x4111 1111 b"), F.lit("term:2:7,card:3:12")).alias("t")).first().t
+    assert over == "a [...][CARD] b"
+
+
 def brute_segments(scores):
     """All maximal segments, by their recursive definition."""
     best = None

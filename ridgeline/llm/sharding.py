@@ -26,11 +26,11 @@ def _bits(n: int, number: Column) -> Column:
     return F.lpad(F.bin(number), n, "0")
 
 
-def addresses(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_bytes, bits: written once, without texts."""
+def addresses(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """row (numbered here if not given), doc_id, n_bytes, bits: written once, without texts."""
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("bigint")
-    rows = util.written(util.texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id",
-                                                F.octet_length("text").cast("bigint").alias("n_bytes")))
+    rows = util.written(docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"),
+                                    F.octet_length(util.body(docs)).cast("bigint").alias("n_bytes")))
     more = F.shiftrightunsigned(F.xxhash64("row"), 1)
     return rows.withColumn("bits", F.concat(_bits(KEY_BITS, key), _bits(ROW_BITS, more)))
 
@@ -59,8 +59,13 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES, step: int = STEP) -> DataF
     rows that share a doc_id are told apart by further bits when their shard
     is too large; an empty table gives no rows; other columns are ignored.
     """
-    rows, depth, done = addresses(docs), 0, []
-    cols = ["doc_id", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs"]
+    return _split(addresses(docs), limit, step).drop("row")
+
+
+def _split(rows: DataFrame, limit: int, step: int) -> DataFrame:
+    """The rows of ``addresses`` with their shards."""
+    depth, done = 0, []
+    cols = ["row", "doc_id", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs"]
     while True:
         here = rows.withColumn("prefix", F.substring("bits", 1, depth + step))
         found = directory(rows, depth, step, limit)
@@ -72,7 +77,18 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES, step: int = STEP) -> DataF
         depth += step
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write the documents as one folder per shard (doc_ids are unique here)."""
-    (docs.join(assigned.select("doc_id", "shard"), "doc_id").repartition("shard")
-     .write.partitionBy("shard").parquet(path))
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, step: int = STEP) -> str:
+    """Write every row of ``docs``, with all its columns, into one folder per
+    shard (as ``shards`` has them) and return the name of the folders' key:
+    "shard", with underscores after it if ``docs`` has such a column.  If all
+    rows fit in one shard, whose address is empty, it is Spark's folder for that."""
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        return free(name + "_") if name in taken else name
+
+    number, key = free("row"), free("shard")
+    kept = util.written(docs.withColumn(number, F.monotonically_increasing_id()))
+    at = _split(addresses(kept, kept[number]), limit, step).select(F.col("row").alias(number), F.col("shard").alias(key))
+    kept.join(at, number).drop(number).repartition(key).write.partitionBy(key).parquet(path)
+    return key

@@ -301,6 +301,19 @@ def test_no_evidence_means_clean(spark, edge_docs, tmp_path):
     assert all(r.predicted == 0 for r in got if r.doc_id in (1, 2, 3))
 
 
+def test_written_shards_hold_every_row(spark, edge_docs, edge_rows, tmp_path):
+    key = sharding.write_shards(edge_docs, f"{tmp_path}/out", 5000, 3)
+    assert key == "shard_"  # the table has a column shard of its own
+    held = []
+    for folder in (tmp_path / "out").glob("shard_=*"):
+        rows = spark.read.parquet(str(folder)).collect()
+        assert sum(len((r.text or "").encode()) for r in rows) <= 5000 or len(rows) == 1
+        assert all(r.row == r.shard == "mine" for r in rows)
+        held += [(r.doc_id, r.text) for r in rows]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted(held, key=order) == sorted(edge_rows, key=order)
+
+
 @pytest.mark.parametrize("limit", [50, 5000, 10 ** 9])
 def test_shards(edge_docs, edge_rows, no_docs, limit):
     rows = sharding.shards(edge_docs, limit, 3).collect()

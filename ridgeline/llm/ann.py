@@ -59,6 +59,15 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c ** 2).sum(1) - 2 * x @ c.T, axis=1)
 
 
+def products(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """x @ c.T summed in the order of the components, so that a row's values
+    don't depend on the rows beside it (BLAS rounds by the batch's shape)."""
+    out = np.zeros((len(x), len(c)))
+    for a, b in zip(x.T, c.T, strict=True):
+        out += a[:, None] * b
+    return out
+
+
 def traverse(d1: np.ndarray, d2: np.ndarray, held: list[int], wanted: int) -> float:
     """The summed distance d1[i] + d2[j] at which the nearest cells i * k + j
     hold ``wanted`` entries (infinite if all cells hold fewer)."""
@@ -127,7 +136,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP, candidates: int
     shared = spark.sparkContext.broadcast(held.ravel().tolist())
 
     def distances(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return -v[:, :half] @ c1.T, -v[:, half:] @ c2.T if k2 > 1 else np.zeros((len(v), 1))
+        return -products(v[:, :half], c1), -products(v[:, half:], c2) if k2 > 1 else np.zeros((len(v), 1))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

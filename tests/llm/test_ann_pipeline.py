@@ -51,6 +51,16 @@ def test_ann_recall_with_few_candidates(spark):
     assert np.mean([len(got[q] & {i for _, i in w}) / 20 for q, w in want.items()]) >= 0.9
 
 
+def test_ann_keeps_the_cell_at_the_stopping_distance(spark, monkeypatch):
+    """Cells of a query hold two entries at least, so one besides itself, also where queries are ranked one by one."""
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 1)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    got = ann.search(df, every=10, candidates=2, share=0.0).select("query_id").distinct().count()
+    assert got == 100
+
+
 def test_traverse_equals_sorting():
     rng = np.random.default_rng(2)
     for _ in range(50):

@@ -5,9 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MED = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,6 +17,7 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from datapaths import SF_SMALL
     from ridgeline.sources.tables import TABLES
     con = duckdb.connect()
     for t in TABLES:

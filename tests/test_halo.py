@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_MED
+from datapaths import SF_MED
 from ridgeline.operators import clean as C
 from ridgeline.operators import windows as W
 from ridgeline.plans import halo as H

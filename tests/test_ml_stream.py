@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_MED
+from datapaths import SF_MED
 from ridgeline.operators import ml as ML
 from ridgeline.operators import predictions as PR
 from ridgeline.plans import q_ml
@@ -112,7 +112,7 @@ def test_time_folds_leave_no_row_out(spark):
 def test_model_queries_search_every_family(spark, monkeypatch):
     """Grids of small trees: all draws of all families in five folds, the best one refitted and registered."""
     import json
-    from conftest import SF_SMALL
+    from datapaths import SF_SMALL
     assert [len(ML.candidates(f)) for f in ML.FAMILIES] == [7, 10, 10]
     assert all(p["n_estimators"] >= 200 for f in ML.FAMILIES[1:] for p in ML.candidates(f))
     monkeypatch.setattr(ML, "RF_GRID", {"n_estimators": [2, 3], "max_depth": [2], "min_samples_split": [2, 5, 10]})

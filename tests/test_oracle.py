@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from datapaths import SF_SMALL
 
 SQL = E.oracle_sql()
 

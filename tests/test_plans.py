@@ -2,7 +2,7 @@
 partial aggregation, group limits."""
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from datapaths import SF_SMALL
 
 
 def _plan(spark, name):

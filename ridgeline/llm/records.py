@@ -33,7 +33,9 @@ from ridgeline.llm import util, words
 
 END_ID = 2
 #: A new file starts once one holds so many bytes; text bytes of a writing task.
-FILE_BYTES, TASK_BYTES = 32 << 20, 32 << 20
+FILE_BYTES, TASK_BYTES = 16 << 20, 32 << 20
+#: Pieces of text, and words in them, that a worker remembers.
+HELD_PIECES, HELD_WORDS = 250_000, 400_000
 #: Index entries that may be broadcast (16 bytes each).
 BROADCAST_ENTRIES = 1_000_000
 # Fixed value: what a rotated checksum is raised by.
@@ -113,7 +115,7 @@ class Encoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.model, self.chars = self.tok.model, words.byte_chars()
         self.special = [t.content[:2] for t in self.tok.get_added_tokens_decoder().values()]
-        self.word_table, self.pieces = words.Table(self._word), words.Table(self._piece)
+        self.word_table, self.pieces = words.Table(self._word, HELD_WORDS), words.Table(self._piece, HELD_PIECES)
         self.cut = regex.compile(f"[{words.WHITE}]+").split
         self.odd = regex.compile("[\x1c-\x1f]").search
 

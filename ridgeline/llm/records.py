@@ -34,6 +34,8 @@ from ridgeline.llm import util, words
 END_ID = 2
 #: A new file starts once one holds so many bytes; text bytes of a writing task.
 FILE_BYTES, TASK_BYTES = 16 << 20, 32 << 20
+#: Rows that a writing task encodes at a time.
+TASK_ROWS = 1000
 #: Pieces of text, and words in them, that a worker remembers.
 HELD_PIECES, HELD_WORDS = 250_000, 400_000
 #: Index entries that may be broadcast (16 bytes each).
@@ -114,24 +116,31 @@ class Encoder:
         self.width = 2 if max(self.tok.get_vocab_size(with_added_tokens=True), END_ID) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.model, self.chars = self.tok.model, words.byte_chars()
+        #: How the special tokens begin.
         self.special = [t.content[:2] for t in self.tok.get_added_tokens_decoder().values()]
         self.word_table, self.pieces = words.Table(self._word, HELD_WORDS), words.Table(self._piece, HELD_PIECES)
         self.cut = regex.compile(f"[{words.WHITE}]+").split
         self.odd = regex.compile("[\x1c-\x1f]").search
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
     def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, word.encode())))]
-        return np.array(ids, self.kind).tobytes()
+        return self._packed([t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, word.encode())))])
 
     def _piece(self, piece: str) -> bytes:
         try:
             piece.encode("latin-1")
-            plain = not any(x in piece for x in self.special)
         except UnicodeEncodeError:
-            plain = False
-        if plain:
-            return b"".join(map(self.word_table.__getitem__, self.words_of(piece.lower())))
-        return np.array(self.tok.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+            return self._packed(self.tok.encode(piece, add_special_tokens=False).ids)
+        # Letters of Latin-1 are composed already and lower-cased one by one.
+        if piece.isalpha():
+            return self.word_table[piece.lower()]
+        if piece[:-1].isalpha() and not piece[-1].isalnum():
+            return self.word_table[piece[:-1].lower()] + self.word_table[piece[-1]]
+        if any(x in piece for x in self.special):
+            return self._packed(self.tok.encode(piece, add_special_tokens=False).ids)
+        return b"".join(map(self.word_table.__getitem__, self.words_of(piece.lower())))
 
     def __call__(self, text: str) -> bytes:
         # str.split() also cuts at four control characters that are no white space here.
@@ -142,6 +151,12 @@ def _encoder(path: str) -> Encoder:
     return _STATE.get(path) or _STATE.setdefault(path, Encoder(path))
 
 
+def _forget() -> None:
+    """A worker that reads needs no encoder, whose tables it may hold since it wrote."""
+    _STATE.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def write_records(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES, task_bytes: int = TASK_BYTES) -> None:
     """Write one record per row of ``docs`` to ``folder``/data, by ascending
     doc_id (nulls first; rows of one doc_id by the hash of their text).
@@ -161,7 +176,7 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
         encode = _encoder(path)
         end = np.array([end_id], encode.kind).tobytes()
         shard, at, pos = TaskContext.get().partitionId() << 20, 0, 0
-        for b in batches:
+        for b in (whole.slice(i, TASK_ROWS) for whole in batches for i in range(0, whole.num_rows, TASK_ROWS)):
             shards, places, frames = [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 f = frame(doc, encode(text) + end, encode.width)
@@ -191,6 +206,7 @@ def build_index(spark: SparkSession, folder: str) -> DataFrame:
     names = [x.split()[0] for x in INDEX.split(", ")]
 
     def run(batches):
+        _forget()
         for b in batches:
             for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 cols = [*zip(*entries(memoryview(content.as_buffer())), strict=True)]
@@ -215,6 +231,7 @@ def _taken(index: DataFrame, folder: str, order, make, schema: str, kinds: list)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
+        _forget()
         for b in batches:
             for i in range(b.num_rows):
                 data = memoryview(b.column(1)[i].as_buffer())

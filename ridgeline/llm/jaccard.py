@@ -10,19 +10,21 @@ look through, but asks for more shared hashes before a pair is verified.  A
 pair needs as many as the smaller l of the two, so no link is lost.
 
 Near copies come in large groups, whose pairs must not be listed.  First, each
-class is verified against one representative among those that share its minimum
-hashes, the one whose hashes are most common, as an original is; what is
-linked becomes one component.  Two classes with one representative can then
-only be similar if they share hashes that it hasn't, which are rare.  Otherwise,
-only pairs of different components that share
-prefix hashes are then counted and verified.
+class is verified against one representative (its home) among those that share
+its minimum hashes, the one whose hashes are most common, as an original is;
+what is linked becomes one component.  Classes that aren't linked with their
+home, such as copies of another text that quotes it, get a second
+representative by the hashes that the home hasn't.  Two classes of one home can
+then only be similar if they share hashes beside it; they are compared by the
+rarest of those, as many as one of which they must share.  All others are
+counted by shared prefix hashes.  Only pairs of different components are listed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm import graph, util
@@ -119,7 +121,7 @@ def _measure(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, seed: int) -> DataFrame:
-    """set_id, n, l, tokens (32-bit), minimum hashes and commonness (mean log
+    """set_id, n, l, tokens, minimum hashes and commonness (mean log
     count of its hashes) of every row that has words."""
     usual = np.median(counts[counts > 0]) if counts.any() else 0
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -141,11 +143,11 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int, see
                 ids.append(set_id(s)[0])
                 n.append(len(s))
                 matches.append(m)
-                tokens.append((s[order[:length]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int32()), pa.array(tokens, pa.list_(pa.int32())),
+                tokens.append(s[order[:length]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(matches, pa.int32()), pa.array(tokens, pa.list_(pa.int64())),
                                               pa.array(low, pa.list_(pa.int64())), pa.array(common, pa.float64())], ["set_id", "n", "l", "tokens", "sketch", "common"])
 
-    return _bytes(docs).mapInArrow(run, "set_id bigint, n bigint, l int, tokens array<int>, sketch array<bigint>, common double")
+    return _bytes(docs).mapInArrow(run, "set_id bigint, n bigint, l int, tokens array<bigint>, sketch array<bigint>, common double")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
@@ -183,60 +185,78 @@ def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, width: int,
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint, alike boolean, both bigint, rest array<bigint>")
 
 
-def _first_round(prefixes: DataFrame) -> DataFrame:
-    """Candidates (a, b): each class with the most common one (that whose
-    hashes are most frequent, as the original of many copies is) of those that
-    share a minimum hash, where the two share enough of them."""
-    low = prefixes.select("set_id", "n", "common", F.explode("sketch").alias("low"))
+def _represented(low: DataFrame, within: list[str]) -> DataFrame:
+    """Candidates (a, b) from rows (set_id, size, common, low, *within): each
+    class with the most common one (that whose hashes are most frequent, as the
+    original of many copies is) of those that share a minimum hash, where the
+    two share enough of them."""
+    key = [*within, "low"]
     most = F.max_by("set_id", F.struct("common", "set_id")).alias("b")
-    least = util.written(low.groupBy("low").agg(most, F.count("*").alias("c")).filter("c > 1").select("low", "b"))
-    met = low.join(least, "low").filter("set_id <> b").groupBy("set_id", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    enough = F.col("shared") >= F.least(F.lit(SKETCH_SHARED), F.col("n"))
+    least = util.written(low.groupBy(*key).agg(most, F.count("*").alias("c")).filter("c > 1").select(*key, "b"))
+    met = low.join(least, key).filter("set_id <> b").groupBy("set_id", "b").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+    enough = F.col("shared") >= F.least(F.lit(SKETCH_SHARED), F.col("size"))
     best = met.filter(enough).groupBy("set_id").agg(F.max(F.struct("shared", "b")).alias("best"))
     return best.select(F.col("set_id").alias("a"), F.col("best.b").alias("b"))
 
 
+def _first_round(prefixes: DataFrame) -> DataFrame:
+    return _represented(prefixes.select("set_id", F.col("n").alias("size"), "common", F.explode("sketch").alias("low")), [])
+
+
+def _again(tried: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Second representatives, by the minimum hashes beside the home."""
+    least = F.slice(F.sort_array("rest"), 1, SKETCH)
+    apart = tried.filter("not alike").select(F.col("a").alias("set_id"), F.col("b").alias("home"), F.size("rest").alias("size"), F.explode(least).alias("low"))
+    return _represented(apart.join(prefixes.select("set_id", "common"), "set_id"), ["home"])
+
+
 def _overlap(percent: int) -> Column:
     """Least intersection of two similar sets of n1 and n2 hashes."""
     return F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
 
 
+def _across(told: DataFrame, key: list[str], columns: list[str], alike: Column) -> DataFrame:
+    """Pairs of rows of ``told`` that share ``key`` and are of different
+    components, columns numbered 1 and 2.  A key's largest component meets the
+    others; it isn't paired with itself, however large."""
+    main = util.written(told.groupBy(*key, "comp").agg(F.count("*").alias("c")).groupBy(*key).agg(F.max_by("comp", F.struct("c", "comp")).alias("main")))
+    told = util.written(told.join(main, key))
+    x = told.filter("comp <> main").select(*key, *[F.col(c).alias(c + "1") for c in columns])
+    y = told.select(*key, F.col("main").alias("main2"), *[F.col(c).alias(c + "2") for c in columns])
+    alike &= F.col("comp1") != F.col("comp2")
+    with_main = x.join(y.filter("comp2 = main2"), key).filter(alike)
+    return with_main.unionByName(x.join(y.filter("comp2 <> main2"), key).filter(alike & (F.col("set_id1") < F.col("set_id2"))))
+
+
 def _beside_home(tried: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of one home but different components.  Their
     intersection is at most the smaller one with the home, plus the hashes that
-    both have beside it; so they must share enough of those."""
+    both have beside it.  A set that is similar to x lacks at most n - ceil(t n)
+    of x's hashes, so of any one more it has some: two such classes share one
+    of their rarest hashes beside the home (rare among its classes)."""
     own = tried.select(F.col("a").alias("set_id"), F.explode("rest").alias("token")).join(prefixes.select("set_id", "comp", "n", "home", "o"), "set_id")
     own = util.written(own)
-    mixed = util.written(own.groupBy("home", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("home", "token"))
-    told = util.written(own.join(mixed, ["home", "token"]))
-    x, y = (told.select("home", "token", *[F.col(c).alias(c + i) for c in ("set_id", "comp", "n", "o")]) for i in "12")
-    alike = (F.col("set_id1") < F.col("set_id2")) & (F.col("comp1") != F.col("comp2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    met = x.join(y, ["home", "token"]).filter(alike).select(
-        F.col("set_id1").alias("a"), F.col("set_id2").alias("b"), (_overlap(percent) - F.least("o1", "o2")).alias("need"))
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
+    spread = util.written(own.groupBy("home", "token").agg(F.count("*").alias("c"), (F.min("comp") < F.max("comp")).alias("mixed")).filter("c > 1"))
+    rarest = Window.partitionBy("set_id").orderBy(F.coalesce("c", F.lit(1)), "token")
+    told = (own.join(spread, ["home", "token"], "left").withColumn("place", F.row_number().over(rarest))
+            .filter(F.col("mixed") & (F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).drop("c", "mixed", "place"))
+    met = _across(util.written(told), ["home", "token"], ["set_id", "comp", "n", "o"], 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    return met.select(F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b")).distinct()
 
 
 def _second_round(prefixes: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of different components with enough shared prefix
-    tokens.  A token's largest component meets the others; it isn't paired with
-    itself, however large.  Two classes of one home (representative) are left to
+    tokens.  Two classes of one home (representative) are left to
     ``_beside_home`` unless what each shares with the home would be enough."""
     posted = prefixes.select("set_id", "comp", "n", "l", "home", "o", F.size("tokens").alias("p"), F.explode("tokens").alias("token"))
     shared = util.written(posted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token"))
-    mixed = util.written(posted.join(shared, "token"))
-    main = util.written(mixed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main")))
-    told = util.written(mixed.join(main, "token"))
-    x = told.filter("comp <> main").select("token", *[F.col(c).alias(c + "1") for c in ("set_id", "comp", "n", "l", "p", "home", "o")])
-    y = told.select("token", F.col("main").alias("main2"), *[F.col(c).alias(c + "2") for c in ("set_id", "comp", "n", "l", "p", "home", "o")])
-    alike = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.col("comp1") != F.col("comp2"))
     overlap = _overlap(percent)
-    alike &= ~F.coalesce(F.col("home1") == F.col("home2"), F.lit(False)) | (F.least("o1", "o2") >= overlap)
-    with_main = x.join(y.filter("comp2 = main2"), "token").filter(alike)
-    others = x.join(y.filter("comp2 <> main2"), "token").filter(alike & (F.col("set_id1") < F.col("set_id2")))
+    apart = ~F.coalesce(F.col("home1") == F.col("home2"), F.lit(False)) | (F.least("o1", "o2") >= overlap)
+    met = _across(util.written(posted.join(shared, "token")), ["token"], ["set_id", "comp", "n", "l", "p", "home", "o"], apart & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
     # Of the two prefixes, the common hashes up to the end of the one that ends
     # first are in both; beyond it that set has only its n - p last hashes.
     need = F.greatest(F.least("l1", "l2"), overlap - F.greatest(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")))
-    met = with_main.unionByName(others).select(F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b"), need.alias("need"))
+    met = met.select(F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b"), need.alias("need"))
     return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
 
@@ -266,7 +286,8 @@ def similar_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
 
     prefixes = util.written(_prefixes(docs, counts, width, percent, seed).dropDuplicates(["set_id"]))
     tried = util.written(_verified(docs, util.written(_first_round(prefixes)), some, width, percent, seed))
-    first = tried.filter("alike").select("a", "b")
+    second = _verified(docs, util.written(_again(tried, prefixes)), some, width, percent, seed)
+    first = util.written(tried.unionByName(second).filter("alike").select("a", "b"))
     known = util.bounded(util.written(graph.components(first)))
     homes = util.bounded(util.written(tried.select(F.col("a").alias("x"), F.col("b").alias("home"), F.col("both").alias("o"))))
     prefixes = (prefixes.join(known, F.col("set_id") == F.col("node"), "left").join(homes, F.col("set_id") == F.col("x"), "left")

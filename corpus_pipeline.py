@@ -5,8 +5,9 @@ and returns the documents it keeps, or, as the last one, the packed pieces.
 Each result is written as Parquet and read again as the next one's ``docs``.
 
 Null texts count as empty: they are never toxic, equal each other, link with
-nothing, hold no secret, and are packed as one end token.  Documents of equal
-doc_id are told apart by their texts; fully repeated rows stay once.  Extra
+nothing, hold no secret, and are packed as one end token.  Documents that share
+a doc_id, or have none, are told apart by their texts; fully repeated rows stay
+once.  Extra
 columns of ``docs`` pass through, whatever their names.
 """
 
@@ -39,6 +40,14 @@ def _stage(work):
     return run
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` (with its key columns named as in ``gone``, null-safe) that ``gone`` doesn't list."""
     match = [docs[c].eqNullSafe(gone["_gone" + c]) for c in docs.columns if "_gone" + c in gone.columns]
@@ -57,7 +66,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of equal texts stays."""
     flags = util.written(exact_dedup.exact_duplicates(docs).groupBy("doc_id", "text_sha256")
                          .agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
-    digest = "_digest_of_text"
+    digest, place = _free(docs, "digest"), _free(docs, "place")
     keyed = docs.withColumn(digest, F.sha2(exact_dedup.normalised(util.body(docs)), 256))
     key = [F.col("doc_id").alias("_gonedoc_id"), F.col("text_sha256").alias("_gone" + digest)]
     out = _without(keyed, util.written(flags.filter(~F.col("kept")).select(*key)))
@@ -65,26 +74,36 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not again.isEmpty():  # rows repeated as they are, or one doc_id with equal texts
         same = out["doc_id"].eqNullSafe(again["_gonedoc_id"]) & (out[digest] == again["_gone" + digest])
         longest = Window.partitionBy("doc_id", digest).orderBy(F.desc(F.char_length("text")), F.xxhash64("text"))
-        once = out.join(again, same, "left_semi").withColumn("_place", F.row_number().over(longest)).filter("_place = 1").drop("_place")
+        once = out.join(again, same, "left_semi").withColumn(place, F.row_number().over(longest)).filter(F.col(place) == 1).drop(place)
         out = _without(out, again).unionByName(once)
     return out.drop(digest)
 
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-gram similarity of 0.8 or more, the one with
-    the smallest doc_id stays; rows without a doc_id go if one with a doc_id is
-    linked to them."""
-    found = jaccard.similar_components(docs)
-    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _without(docs, util.written(gone.select(F.col("doc_id").alias("_gonedoc_id")).distinct()))
+    """Of rows linked by 5-gram similarity of 0.8 or more, one stays: that with
+    the smallest doc_id, rows without one coming last.  Rows are told apart by
+    numbers written beside them, so rows that share a doc_id, or have none, are
+    linked and kept each by its own text."""
+    place = _free(docs, "place")
+    numbered = util.written(docs.withColumn(place, F.monotonically_increasing_id()))
+    found = jaccard.similar_components(numbered.select(F.col(place).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    many = util.written(found.filter("row <> group"))  # all but the first row of every group
+    heads = many.select(F.col("group").alias("row"), "group").distinct()
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(place).alias("row"))
+    owners = numbered.select(F.col(place).alias("row"), who.alias("who"))
+    linked = util.written(many.unionByName(heads).join(owners, "row").select("group", "who"))
+    first = linked.groupBy("group").agg(F.min("who").alias("stays"))
+    gone = linked.join(first, "group").filter("who <> stays").select(F.col("who.row").alias("_gone" + place))
+    return _without(numbered, util.written(gone)).drop(place)
 
 
 @_stage
 def cover_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are covered, and n_chars
     counts a text that has changed anew."""
-    covered = "_covered_text"
+    covered = _free(docs, "covered")
     out = docs.withColumn(covered, secrets.redacted(docs["text"], secrets.fit(docs)))
     if "n_chars" in docs.columns:
         n = F.char_length(covered).cast(docs.schema["n_chars"].dataType)

@@ -130,3 +130,21 @@ def test_pipeline(spark):
             assert r == before[r.doc_id]
     assert {r.doc_id for r in rows[5]} == {r.doc_id for r in rows[4]}
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_of_shared_and_missing_ids(spark):
+    """Rows are kept by themselves, not by their doc_id."""
+    a = " ".join(f"alpha{i}" for i in range(60))
+    near, other = a.replace("alpha50", "beta"), " ".join(f"other{i}" for i in range(40))
+    rows = [(15, a.replace("alpha51", "gamma")), (3, a), (15, " ".join(f"sole{i}" for i in range(40))), (20, other), (None, near), (None, other + " end"),
+            (None, " ".join(f"null{i}" for i in range(50))), (None, " ".join(f"null{i}" for i in range(49))), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'mine' as place", "1 as place_", "2 as digest", "3 as covered", "4 as row", "5 as who", "6 as group")
+    out = corpus_pipeline.drop_near_copies(spark, df, SF)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id or -1), (r.text or "")[:6], r.place, r.place_) for r in out.collect())
+    assert got == sorted([(3, "alpha0", "mine", 1), (15, "sole0 ", "mine", 1), (20, "other0", "mine", 1), (-1, "null0 ", "mine", 1), (7, "", "mine", 1), (7, "", "mine", 1)])
+    for work in (corpus_pipeline.drop_exact_copies, corpus_pipeline.cover_secrets):
+        out = work(spark, df, SF)
+        found = out.collect()
+        assert out.columns == df.columns and {(r.place, r.place_, r.digest, r.covered) for r in found} == {("mine", 1, 2, 3)}
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), SF).count() == 0

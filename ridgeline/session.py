@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,24 @@ DEFAULT_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package by Spark's own file distribution, for
+    functions that run in Python workers."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    top = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(), "ridgeline_operators.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(path)
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "ridgeline") -> SparkSession:
     """Session for tests and the local bench (a cluster passes its own)."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)

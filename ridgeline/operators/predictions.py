@@ -56,6 +56,20 @@ def point_accuracy(actual: Column, pred: Column) -> list[Column]:
             F.greatest(F.lit(0.0), F.lit(100.0) - pct).alias("accuracy")]
 
 
+def accuracy_parts(df: DataFrame, keys: Sequence[str], actual: str = "actual", pred: str = "prediction") -> DataFrame:
+    """A14 sums per key; those of several parts add up."""
+    x = df.filter(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(*keys, *point_accuracy(F.col(actual), F.col(pred)))
+    return x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("abs_error").alias("abs_error"), F.sum("pct_error").alias("pct_error"),
+                                F.sum(F.col("within_10").cast("long")).alias("within_10"), F.sum("accuracy").alias("accuracy"))
+
+
+def merged_accuracy(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A14 from the ``accuracy_parts`` of all parts."""
+    n = F.sum("n")
+    return parts.groupBy(*keys).agg(n.alias("n"), (F.sum("abs_error") / n).alias("mae"), (F.sum("pct_error") / n).alias("mean_pct_error"),
+                                    (F.sum("within_10") / n).alias("within_10_share"), (F.sum("accuracy") / n).alias("mean_accuracy"))
+
+
 def accuracy_by(df: DataFrame, keys: Sequence[str], actual: str = "actual", pred: str = "prediction") -> DataFrame:
     """A14 rolled up: mean errors, within-10 share and mean accuracy per key."""
     x = df.filter(F.col(pred).isNotNull() & F.col(actual).isNotNull()).select(*keys, *point_accuracy(F.col(actual), F.col(pred)))
@@ -65,6 +79,16 @@ def accuracy_by(df: DataFrame, keys: Sequence[str], actual: str = "actual", pred
                                 F.avg("accuracy").alias("mean_accuracy"))
 
 
+def due_pairs(preds: DataFrame, actuals: DataFrame, minutes: int = 5) -> DataFrame:
+    """Each actual (asset_id, ts, actual) with the asset's predictions that fell
+    due in the ``minutes`` before it: target_ts <= ts < target_ts + minutes.
+    An interval join, for tables and for streams with watermarks alike."""
+    a = actuals.select(F.col("asset_id").alias("_asset"), F.col("ts").alias("actual_ts"), "actual")
+    due = ((F.col("asset_id") == F.col("_asset")) & (F.col("actual_ts") >= F.col("target_ts"))
+           & (F.col("actual_ts") < F.col("target_ts") + F.expr(f"INTERVAL {minutes} MINUTES")))
+    return preds.join(a, due).drop("_asset")
+
+
 def regression_metrics(df: DataFrame, keys: Sequence[str], y: str = "actual", p: str = "prediction") -> DataFrame:
     """R2 = 1 - SSE / (n * var_pop(y)), RMSE, MAE, share with |e|/y <= 10 %.
     One aggregation; cross-checked against ``RegressionEvaluator`` in tests."""
@@ -131,14 +155,8 @@ def _tail(preds: DataFrame, k: int, keys: Sequence[str], newest: bool = True) ->
     return preds.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
 
 
-def prediction_drift(preds: DataFrame, keys: Sequence[str] = ("horizon",), threshold: float = DRIFT_THRESHOLD) -> DataFrame:
-    """Mean of the newest 10 predictions vs the older ones (the first 5
-    when exactly 10 exist); relative change > threshold is drift; fewer than
-    10 -> insufficient."""
-    tot = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("s_all"))
-    rec = _tail(preds, DRIFT_RECENT, keys).groupBy(*keys).agg(F.sum("prediction").alias("s_recent"))
-    first = _tail(preds, DRIFT_MIN_OLDER, keys, newest=False).groupBy(*keys).agg(F.avg("prediction").alias("m_first5"))
-    j = tot.join(rec, list(keys)).join(first, list(keys))
+def _drift_table(j: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """A11 from n, s_all (sum of all), s_recent (of the newest 10) and m_first5."""
     recent_mean = F.col("s_recent") / DRIFT_RECENT
     older_mean = F.when(F.col("n") > DRIFT_RECENT, (F.col("s_all") - F.col("s_recent")) / (F.col("n") - DRIFT_RECENT)) \
                   .otherwise(F.col("m_first5"))
@@ -150,6 +168,36 @@ def prediction_drift(preds: DataFrame, keys: Sequence[str] = ("horizon",), thres
                     F.when(~enough, "insufficient").when(change > threshold, "drift").otherwise("stable").alias("drift_status"))
 
 
+def prediction_drift(preds: DataFrame, keys: Sequence[str] = ("horizon",), threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """Mean of the newest 10 predictions vs the older ones (the first 5
+    when exactly 10 exist); relative change > threshold is drift; fewer than
+    10 -> insufficient."""
+    tot = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("s_all"))
+    rec = _tail(preds, DRIFT_RECENT, keys).groupBy(*keys).agg(F.sum("prediction").alias("s_recent"))
+    first = _tail(preds, DRIFT_MIN_OLDER, keys, newest=False).groupBy(*keys).agg(F.avg("prediction").alias("m_first5"))
+    return _drift_table(tot.join(rec, list(keys)).join(first, list(keys)), keys, threshold)
+
+
+def drift_parts(preds: DataFrame, keys: Sequence[str] = ("horizon",)) -> DataFrame:
+    """What A11 needs of a part of the predictions: per key the count, the sum,
+    and the newest 10 and oldest 5 rows.  Parts of a log merge into its drift
+    table, so the log itself isn't read again."""
+    row = F.collect_list(F.struct("ts", "seq", "prediction"))
+    tot = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("s_all"))
+    new = _tail(preds, DRIFT_RECENT, keys).groupBy(*keys).agg(row.alias("newest"))
+    old = _tail(preds, DRIFT_MIN_OLDER, keys, newest=False).groupBy(*keys).agg(row.alias("oldest"))
+    return tot.join(new, list(keys)).join(old, list(keys))
+
+
+def merged_drift(parts: DataFrame, keys: Sequence[str] = ("horizon",), threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """A11 from the ``drift_parts`` of all parts of a log."""
+    tot = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s_all").alias("s_all"))
+    rows = lambda c: parts.select(*keys, F.inline(c))
+    rec = _tail(rows("newest"), DRIFT_RECENT, keys).groupBy(*keys).agg(F.sum("prediction").alias("s_recent"))
+    first = _tail(rows("oldest"), DRIFT_MIN_OLDER, keys, newest=False).groupBy(*keys).agg(F.avg("prediction").alias("m_first5"))
+    return _drift_table(tot.join(rec, list(keys)).join(first, list(keys)), keys, threshold)
+
+
 def recent_trends(preds: DataFrame, keys: Sequence[str] = ("horizon",), k: int = TREND_LAST) -> DataFrame:
     """Over the newest k predictions: mean, population std, min, max and
     direction (newest > oldest of the k -> increasing)."""

@@ -3,9 +3,13 @@ returns the sink as a DataFrame; the DuckDB twin is the batch meaning."""
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.plans import oracle as O
+from ridgeline.plans.q_clean import PREDS
 from ridgeline.plans.q_joins import ACTES, FIN, KFIN
 from ridgeline.plans.q_predictions import r6
 from ridgeline.plans.registry import ORACLE
@@ -43,8 +47,7 @@ SELECT seq, coalesce(lag(kex, 1) OVER w, kex) AS kex_lag1, coalesce(lag(kex, 2)
        coalesce(lag(sipx, 1) OVER w, sipx) AS sipx_lag1, coalesce(lag(sipx, 2) OVER w, sipx) AS sipx_lag2
 FROM readings WINDOW w AS (PARTITION BY asset_id ORDER BY ts, seq)"""))
 def st_ring_lags(spark, sf):
-    out = L.run_to_parquet(L.ring_lags(L.live_readings(spark, sf)), "ring")
-    return spark.read.parquet(out)
+    return spark.read.parquet(L.ring_lags(L.live_readings(spark, sf))).drop("epoch")
 
 
 @query("st_alerts", O.with_ctes(*ACTES, body="SELECT alert_id, seq, asset_id, ts, metric, round(value, 6) AS value, severity, alert_type FROM alerts"))
@@ -68,5 +71,29 @@ PREDICTION_DRIFT_SQL = ORACLE["prediction_drift"]
 
 @query("st_drift", PREDICTION_DRIFT_SQL)
 def st_drift(spark, sf):
-    _log, drift = L.drift_monitor(L.live_readings(spark, sf))
-    return r6(spark.read.parquet(drift))
+    return r6(L.drift_table(spark, L.drift_monitor(L.live_readings(spark, sf))))
+
+
+@query("st_accuracy", O.with_ctes(R, PREDS, body="""
+SELECT horizon, count(*) AS n, round(avg(abs(actual - prediction)), 6) AS mae, round(avg(pct), 6) AS mean_pct_error,
+       round(avg(CAST(pct <= 10 AS DOUBLE)), 6) AS within_10_share, round(avg(greatest(0.0, 100.0 - pct)), 6) AS mean_accuracy
+FROM (SELECT p.horizon, p.prediction, a.issue_value AS actual,
+             CASE WHEN a.issue_value <> 0 THEN abs(a.issue_value - p.prediction) / a.issue_value * 100.0 ELSE 0.0 END AS pct
+      FROM preds p JOIN preds a ON a.horizon = 5 AND a.asset_id = p.asset_id AND a.ts >= p.target_ts AND a.ts < p.target_ts + INTERVAL 5 MINUTE
+      WHERE a.issue_value IS NOT NULL AND p.prediction IS NOT NULL) x
+GROUP BY horizon"""))
+def st_accuracy(spark, sf):
+    return r6(L.accuracy_table(spark, L.accuracy_monitor(L.live_readings(spark, sf))))
+
+
+def _cadence_sql(m):
+    w = f"time_bucket(INTERVAL {m} MINUTE, ts)"
+    return f"""SELECT {m} AS cadence_minutes, asset_id, {w} AS window_start, arg_min(seq, (ts, seq)) AS seq, count(*) AS n_points
+FROM readings GROUP BY asset_id, {w} HAVING {w} + INTERVAL {m} MINUTE <= (SELECT max(ts) FROM readings) - INTERVAL 10 MINUTE"""
+
+
+@query("st_snapshot_all", O.with_ctes(R, body=" UNION ALL ".join(map(_cadence_sql, L.CADENCES))))
+def st_snapshot_all(spark, sf):
+    """ST2 at all three cadences, one stream each."""
+    parts = [spark.read.parquet(L.run_to_parquet(L.snapshots(L.live_readings(spark, sf), m), f"snapshot-{m}")) for m in L.CADENCES]
+    return functools.reduce(DataFrame.unionByName, parts).withColumn("cadence_minutes", F.col("cadence_minutes").cast("int"))

@@ -11,25 +11,24 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ridgeline.functions import process as P
 from ridgeline.functions import recs as RC
 from ridgeline.operators import clean as C
 from ridgeline.operators import joins as J
 from ridgeline.operators import predictions as PR
+from ridgeline.plans.halo import DEFAULT_CHUNK_ROWS, row_windowed
 from ridgeline.session import ensure_checkpoint_dir
 from ridgeline.sources import tables as T
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 TICK = "4 seconds"
 RING = 100
+# Minutes between the saves of sensor, calculated and optimisation rows.
+CADENCES = (2, 5, 10)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -65,34 +64,43 @@ def snapshots(readings: DataFrame, minutes: int = 2, delay: str = "10 minutes")
                             F.col("window.start").cast("timestamp_ntz").alias("window_start"), "seq", "n_points"))
 
 
-def _ring_lags(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """ST3: per-asset ring buffer of the last 100 (kex, sipx) readings; lag1/lag2
-    fall back to the current value (W4).  One micro-batch of one asset (bounded
-    by ``maxFilesPerTrigger``) is ordered and the lags are read from the
-    buffer followed by the batch, vectorised with numpy."""
-    hist = [np.asarray(h, dtype="float64") for h in state.get] if state.exists else [np.empty(0), np.empty(0)]
-    pdf = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "seq"])
-    out = {"seq": pdf["seq"].to_numpy(dtype="int64")}
-    new_hist = []
-    for name, h in zip(("kex", "sipx"), hist):
-        cur = pdf[name].to_numpy(dtype="float64")
-        seq_all = np.concatenate([h, cur])
-        pos = np.arange(len(cur)) + len(h)          # index of each batch row in seq_all
-        for lag in (1, 2):
-            src = pos - lag
-            out[f"{name}_lag{lag}"] = np.where(src >= 0, seq_all[np.maximum(src, 0)], cur)
-        new_hist.append(seq_all[-RING:].tolist())
-    state.update(tuple(new_hist))
-    yield pd.DataFrame(out)[["seq", "kex_lag1", "kex_lag2", "sipx_lag1", "sipx_lag2"]]
-
-
-def ring_lags(readings: DataFrame) -> DataFrame:
-    """ST3 via ``applyInPandasWithState`` (state = two bounded arrays)."""
-    return (readings.select("asset_id", "seq", "ts", "kex", "sipx").groupBy("asset_id")
-                    .applyInPandasWithState(_ring_lags,
-                                            "seq long, kex_lag1 double, kex_lag2 double, sipx_lag1 double, sipx_lag2 double",
-                                            "kh array<double>, sh array<double>", "append",
-                                            GroupStateTimeout.NoTimeout))
+def _w4_lags(w) -> list[Column]:
+    return [F.coalesce(F.lag(c, k).over(w), F.col(c)).alias(f"{c}_lag{k}") for c in ("kex", "sipx") for k in (1, 2)]
+
+
+def ring_epoch(batch: DataFrame, epoch: int, folder: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> None:
+    """ST3, one micro-batch: lag1/lag2 of kex and sipx (first rows: the current
+    value, W4) over the carried buffer followed by the batch, and the buffer of
+    the last ``RING`` readings per asset for the next one.
+
+    The batch's rows are dealt over (asset, chunk), so an asset with most rows
+    is many tasks.  Buffers alternate between two folders and the result goes
+    to the epoch's own, so a batch that is run again reads what it read before
+    and replaces what it wrote."""
+    spark = batch.sparkSession
+    new = batch.select("asset_id", "seq", "ts", "kex", "sipx", F.lit(1).alias("_new"), F.lit(0).alias("_place"))
+    rows = new if epoch == 0 else new.unionByName(spark.read.parquet(f"{folder}/buffer/{(epoch - 1) % 2}"))
+    order = ["_new", "_place", "ts", "seq"]
+    lags = row_windowed(rows, ["asset_id"], order, _w4_lags, lookback=2, chunk_rows=chunk_rows)
+    lags.filter("_new = 1").select("seq", *[f"{c}_lag{k}" for c in ("kex", "sipx") for k in (1, 2)]).write.mode("overwrite").parquet(f"{folder}/lags/epoch={epoch}")
+    last = Window.partitionBy("asset_id").orderBy(*[F.desc(c) for c in order])
+    kept = rows.withColumn("_place", F.row_number().over(last)).filter(F.col("_place") <= RING)
+    (kept.select("asset_id", "seq", "ts", "kex", "sipx", F.lit(0).alias("_new"), (-F.col("_place")).alias("_place"))
+         .write.mode("overwrite").parquet(f"{folder}/buffer/{epoch % 2}"))
+
+
+def _epochs(readings: DataFrame, work, folder: str) -> None:
+    """Run ``work(batch, epoch)`` on every micro-batch of what is there now."""
+    q = (readings.writeStream.foreachBatch(work).option("checkpointLocation", folder + "-ckpt")
+                 .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def ring_lags(readings: DataFrame, name: str = "ring") -> str:
+    """ST3 over a stream; returns the folder of the lags, one part per epoch."""
+    folder = scratch(readings.sparkSession, name)
+    _epochs(readings, lambda batch, epoch: ring_epoch(batch, epoch, folder), folder)
+    return f"{folder}/lags"
 
 
 def rule_alerts(readings: DataFrame) -> DataFrame:
@@ -141,19 +149,53 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append", availa
     return out
 
 
-def drift_monitor(readings: DataFrame, name: str = "drift") -> tuple[str, str]:
-    """ST6: prediction log appended per micro-batch (foreachBatch); after
-    each batch the drift table (A11) is recomputed from the whole log."""
-    spark = readings.sparkSession
-    log_dir, drift_dir = scratch(spark, name + "-log"), scratch(spark, name + "-table")
+def drift_epoch(batch: DataFrame, epoch: int, folder: str) -> None:
+    """ST6, one micro-batch of predictions: the log and the drift parts
+    of this epoch.  A batch that is run again replaces both."""
+    p = T.preds(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    p.write.mode("overwrite").parquet(f"{folder}/log/epoch={epoch}")
+    PR.drift_parts(p).write.mode("overwrite").parquet(f"{folder}/drift/epoch={epoch}")
 
-    def per_batch(batch: DataFrame, epoch: int) -> None:
-        p = T.preds(batch.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
-        p.write.mode("append").parquet(log_dir)
-        log = batch.sparkSession.read.parquet(log_dir)
-        PR.prediction_drift(log).write.mode("overwrite").parquet(drift_dir)
 
-    q = (readings.writeStream.foreachBatch(per_batch).option("checkpointLocation", log_dir + "-ckpt")
-                 .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return log_dir, drift_dir
+def drift_monitor(readings: DataFrame, name: str = "drift") -> str:
+    """ST6: prediction log and drift parts, one part per epoch; returns their
+    folder.  ``drift_table`` merges the parts, a few rows per epoch, so the log
+    is never read again."""
+    folder = scratch(readings.sparkSession, name)
+    _epochs(readings, lambda batch, epoch: drift_epoch(batch, epoch, folder), folder)
+    return folder
+
+
+def drift_table(spark: SparkSession, folder: str) -> DataFrame:
+    return PR.merged_drift(spark.read.parquet(f"{folder}/drift"))
+
+
+def validated(readings: DataFrame, minutes: int = 5, delay: str = "10 minutes") -> DataFrame:
+    """ST6: predictions joined with the actual grades that arrive when they
+    fall due (stream-stream interval join).  Watermarks on target_ts and ts
+    bound the state: a prediction is kept until its horizon, ``minutes`` and
+    ``delay`` have passed, an actual until no earlier prediction can arrive."""
+    preds = T.preds(readings).withWatermark("target_ts", delay)
+    actuals = readings.select("asset_id", "ts", P.grade_estimate().alias("actual")).withWatermark("ts", delay)
+    pairs = PR.due_pairs(preds.drop("ts"), actuals, minutes)
+    return pairs.select("seq", "asset_id", "horizon", "target_ts", "actual_ts", "prediction", "actual")
+
+
+def accuracy_epoch(pairs: DataFrame, epoch: int, folder: str) -> None:
+    """ST6, one micro-batch of validated predictions: pairs and accuracy sums
+    (A14) of this epoch.  A batch that is run again replaces both."""
+    pairs = pairs.persist()
+    pairs.write.mode("overwrite").parquet(f"{folder}/pairs/epoch={epoch}")
+    PR.accuracy_parts(pairs, ["horizon"]).write.mode("overwrite").parquet(f"{folder}/accuracy/epoch={epoch}")
+    pairs.unpersist()
+
+
+def accuracy_monitor(readings: DataFrame, name: str = "accuracy") -> str:
+    """ST6: validated pairs and accuracy sums, one part per epoch; returns their folder."""
+    folder = scratch(readings.sparkSession, name)
+    _epochs(validated(readings), lambda batch, epoch: accuracy_epoch(batch, epoch, folder), folder)
+    return folder
+
+
+def accuracy_table(spark: SparkSession, folder: str) -> DataFrame:
+    return PR.merged_accuracy(spark.read.parquet(f"{folder}/accuracy"), ["horizon"])

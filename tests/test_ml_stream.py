@@ -44,11 +44,45 @@ def test_training_split_is_time_ordered(spark):
     assert b["train"][1] <= b["validation"][0] and b["validation"][1] <= b["test"][0]
 
 
+def _rounded(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def _thirds(r):
+    return [r.filter(f"seq % 3 = {i}") for i in range(3)]
+
+
+def test_drift_from_epochs_equals_batch_and_a_replay_changes_nothing(spark, tmp_path):
+    r = T.readings(spark, SF_MED)
+    folder = str(tmp_path / "drift")
+    for epoch, part in enumerate(_thirds(r)):
+        L.drift_epoch(part, epoch, folder)
+    want = _rounded(PR.prediction_drift(T.preds(r)))
+    assert _rounded(L.drift_table(spark, folder)) == want
+    L.drift_epoch(_thirds(r)[1], 1, folder)  # the batch is run again
+    assert _rounded(L.drift_table(spark, folder)) == want
+    assert spark.read.parquet(folder + "/log").count() == T.preds(r).count()
+
+
 def test_stream_drift_equals_batch(spark):
-    _log, drift = L.drift_monitor(L.live_readings(spark, SF_MED))
-    got = {r["horizon"]: round(r["recent_mean"], 9) for r in spark.read.parquet(drift).collect()}
-    exp = {r["horizon"]: round(r["recent_mean"], 9) for r in PR.prediction_drift(T.preds(T.readings(spark, SF_MED))).collect()}
-    assert got == exp
+    folder = L.drift_monitor(L.live_readings(spark, SF_MED))
+    assert _rounded(L.drift_table(spark, folder)) == _rounded(PR.prediction_drift(T.preds(T.readings(spark, SF_MED))))
+
+
+def test_stream_accuracy_equals_batch_and_a_replay_changes_nothing(spark):
+    folder = L.accuracy_monitor(L.live_readings(spark, SF_MED))
+    r = T.readings(spark, SF_MED)
+    pairs = PR.due_pairs(T.preds(r).drop("ts"), r.select("asset_id", "ts", T.P.grade_estimate().alias("actual")))
+    want = _rounded(PR.accuracy_by(pairs, ["horizon"]))
+    assert len(want) == 4 and _rounded(L.accuracy_table(spark, folder)) == want
+    logged = spark.read.parquet(folder + "/pairs")
+    assert logged.count() == pairs.count()
+    epoch = logged.agg(F.max("epoch")).first()[0]
+    again = spark.createDataFrame(logged.filter(F.col("epoch") == epoch).drop("epoch").collect(), logged.drop("epoch").schema)
+    L.accuracy_epoch(again, epoch, folder)
+    assert _rounded(L.accuracy_table(spark, folder)) == want
+    one, two = pairs.filter("seq % 2 = 0"), pairs.filter("seq % 2 = 1")
+    assert _rounded(PR.merged_accuracy(PR.accuracy_parts(one, ["horizon"]).unionByName(PR.accuracy_parts(two, ["horizon"])), ["horizon"])) == want
 
 
 def test_foreign_model_udf_is_arrow_batched_and_exact(spark):
@@ -64,39 +98,22 @@ def test_foreign_model_udf_is_arrow_batched_and_exact(spark):
     assert (got["foreign_prediction"].to_numpy() == exp).all()
 
 
-class _State:
-    """Minimal stand-in for GroupState: exists / get / update."""
-
-    def __init__(self):
-        self.value = None
-
-    @property
-    def exists(self):
-        return self.value is not None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, v):
-        self.value = v
-
-
-def test_ring_buffer_state_carries_across_micro_batches():
-    import pandas as pd
-    rng = np.random.default_rng(7)
-    n = 250
-    df = pd.DataFrame({"seq": np.arange(n), "ts": pd.date_range("2024-01-01", periods=n, freq="min"),
-                       "kex": rng.uniform(0, 100, n), "sipx": rng.uniform(0, 60, n)})
-    one = next(L._ring_lags((0,), iter([df.sample(frac=1, random_state=1)]), _State()))
-    st, parts = _State(), []
-    for lo, hi in ((0, 1), (1, 3), (3, 120), (120, 250)):       # uneven batches, state carried
-        parts.append(next(L._ring_lags((0,), iter([df.iloc[lo:hi]]), st)))
-    many = pd.concat(parts, ignore_index=True)
-    pd.testing.assert_frame_equal(one.reset_index(drop=True), many)
-    assert len(st.get[0]) == L.RING and st.get[0][-1] == df["kex"].iloc[-1]
-    exp1 = df["kex"].shift(1).fillna(df["kex"]).to_numpy()
-    assert np.array_equal(many["kex_lag1"].to_numpy(), exp1)
+def test_ring_buffer_carries_across_epochs_with_a_hot_asset(spark, tmp_path):
+    """Uneven batches, one asset with most rows, chunks far smaller than it: equal to W4 over everything; a replay changes nothing."""
+    from pyspark.sql import Window
+    rows = [(i % 7 if i % 10 == 0 else 3, i, float(i * 37 % 101), float(i * 11 % 61)) for i in range(700)]
+    df = spark.createDataFrame(rows, "asset_id long, seq long, kex double, sipx double").withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+    folder = str(tmp_path / "ring")
+    for epoch, (lo, hi) in enumerate(((0, 1), (1, 3), (3, 320), (320, 321), (321, 700))):
+        batch = df.filter((F.col("seq") >= lo) & (F.col("seq") < hi))
+        L.ring_epoch(batch, epoch, folder, chunk_rows=50)
+        if epoch in (2, 3):
+            L.ring_epoch(batch, epoch, folder, chunk_rows=50)
+    want = df.select("seq", *L._w4_lags(Window.partitionBy("asset_id").orderBy("ts", "seq")))
+    assert _rounded(spark.read.parquet(folder + "/lags").drop("epoch").select(want.columns)) == _rounded(want)
+    buffer = spark.read.parquet(folder + "/buffer/0")
+    assert buffer.groupBy("asset_id").count().agg(F.max("count")).first()[0] == L.RING
+    assert buffer.filter("asset_id = 3").agg(F.max("seq")).first()[0] == df.filter("asset_id = 3").agg(F.max("seq")).first()[0]
 
 
 def test_time_folds_leave_no_row_out(spark):

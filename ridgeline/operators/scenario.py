@@ -10,8 +10,6 @@ the whole search needs no shuffle at all.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +169,3 @@ def multi_horizon_score(points: DataFrame, r2_by_horizon: dict[int, Column], ban
         s = s * (F.lit(1.0) - (F.lit(1.0) - r2_by_horizon[h]) * 0.3)
         total = total + s * (1.0 / h)
     return x.select("*", pred.alias("predicted_grade"), total.alias("total_score"))
-
-
-_ = math

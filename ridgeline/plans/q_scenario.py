@@ -28,25 +28,22 @@ X = """x AS (SELECT pc.*, 0 AS cand_id, ck AS cand_kex, cs AS cand_sipx FROM pc
 
 def _steps_sql():
     ks, ss = [], []
-    for s in range(S.TIME_STEPS):
-        if s < S.RAMP_STEPS:
-            f = (s + 1) / S.RAMP_STEPS
-            ks.append(f"coalesce(kex, 45.0) * {1 - f!r} + cand_kex * {f!r} AS k{s}")
-            ss.append(f"coalesce(sipx, 25.0) * {1 - f!r} + cand_sipx * {f!r} AS s{s}")
-        else:
-            ks.append(f"cand_kex AS k{s}")
-            ss.append(f"cand_sipx AS s{s}")
-    g = ", ".join(f"{O.grade('feed_pb', f'k{s}', f's{s}', 'air_flow', 'level')} AS g{s}" for s in range(S.TIME_STEPS))
+    for s in range(S.RAMP_STEPS):  # later steps hold the full setting
+        f = (s + 1) / S.RAMP_STEPS
+        ks.append(f"coalesce(kex, 45.0) * {1 - f!r} + cand_kex * {f!r} AS k{s}")
+        ss.append(f"coalesce(sipx, 25.0) * {1 - f!r} + cand_sipx * {f!r} AS s{s}")
+    steps = [min(s, S.RAMP_STEPS - 1) for s in range(S.TIME_STEPS)]
+    g = ", ".join(f"{O.grade('feed_pb', f'k{s}', f's{s}', 'air_flow', 'level')} AS g{s}" for s in range(S.RAMP_STEPS))
     r = ", ".join(f"{O.recovery_pct(f'g{s}', 'feed_pb', f'k{s}', f's{s}', 'air_flow', 'level')} / 100.0 AS r{s}"
-                  for s in range(S.TIME_STEPS))
-    n = S.TIME_STEPS
-    mean = lambda p: "(" + " + ".join(f"{p}{i}" for i in range(n)) + f") / {float(n)}"
-    std = lambda p: "sqrt((" + " + ".join(f"({p}{i} - m{p}) * ({p}{i} - m{p})" for i in range(n)) + f") / {float(n)})"
-    return [f"xs AS (SELECT *, {', '.join(ks)}, {', '.join(ss)} FROM x)",
-            f"xg AS (SELECT *, {g} FROM xs)",
-            f"xr AS (SELECT *, {r} FROM xg)",
-            f"xm AS (SELECT *, {mean('r')} AS mr, {mean('g')} AS mg FROM xr)",
-            f"""obj AS (SELECT *, mr AS avg_recovery, mg AS avg_concentrate, {std('r')} AS std_recovery, {std('g')} AS std_concentrate,
+                  for s in range(S.RAMP_STEPS))
+    n = float(S.TIME_STEPS)
+    mean = lambda p: "(" + " + ".join(f"{p}{i}" for i in steps) + f") / {n}"
+    std = lambda p: "sqrt((" + " + ".join(f"({p}{i} - m{p}) * ({p}{i} - m{p})" for i in steps) + f") / {n})"
+    return [f"xs AS MATERIALIZED (SELECT *, {', '.join(ks)}, {', '.join(ss)} FROM x)",
+            f"xg AS MATERIALIZED (SELECT *, {g} FROM xs)",
+            f"xr AS MATERIALIZED (SELECT *, {r} FROM xg)",
+            f"xm AS MATERIALIZED (SELECT *, {mean('r')} AS mr, {mean('g')} AS mg FROM xr)",
+            f"""obj AS MATERIALIZED (SELECT *, mr AS avg_recovery, mg AS avg_concentrate, {std('r')} AS std_recovery, {std('g')} AS std_concentrate,
                   CASE WHEN mg < 15.0 THEN (15.0 - mg) * 0.1 WHEN mg > 35.0 THEN (mg - 35.0) * 0.1 ELSE 0.0 END AS grade_penalty,
                   (CASE WHEN NOT (cand_kex BETWEEN 20.0 AND 100.0) THEN 1.0 ELSE 0.0 END
                    + CASE WHEN NOT (cand_sipx BETWEEN 10.0 AND 60.0) THEN 1.0 ELSE 0.0 END) AS bounds_penalty FROM xm)"""]
@@ -70,7 +67,7 @@ def scenario_objective(spark, sf):
 
 
 BEST = """
-best AS (SELECT o.seq, o.ck AS current_kex, o.cs AS current_sipx, b.cand_id AS best_cand, b.cand_kex AS optimal_kex, b.cand_sipx AS optimal_sipx,
+best AS MATERIALIZED (SELECT o.seq, o.ck AS current_kex, o.cs AS current_sipx, b.cand_id AS best_cand, b.cand_kex AS optimal_kex, b.cand_sipx AS optimal_sipx,
                 o.avg_recovery AS current_avg_recovery, b.avg_recovery AS optimal_avg_recovery,
                 b.avg_recovery - o.avg_recovery AS recovery_improvement, o.avg_concentrate AS current_avg_concentrate,
                 b.avg_concentrate AS optimal_avg_concentrate,
@@ -139,7 +136,7 @@ def _opt_msgs_sql():
             f"ELSE list_filter([{first}, {kx}, {sx}, {outc}], lambda m: m IS NOT NULL) END")
 
 
-RECS = f"recs AS (SELECT seq, current_kex, current_sipx, {_opt_msgs_sql()} AS msgs FROM best)"
+RECS = f"recs AS MATERIALIZED (SELECT seq, current_kex, current_sipx, {_opt_msgs_sql()} AS msgs FROM best)"
 
 
 def _recs(spark, sf):

@@ -98,45 +98,56 @@ def row_windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str],
              .filter(~F.col("_halo")).drop("_halo"))
 
 
-def time_chunks(df: DataFrame, bucket_seconds: int, lookback_seconds: int,
+def time_chunks(df_pos: DataFrame, keys: Sequence[str], chunk_rows: int, lookback_seconds: int,
                 lookahead_seconds: int = 0) -> DataFrame:
-    """Time buckets with halo copies over the microsecond epoch ``_us``:
-    adds ``_tb`` (bucket number) and ``_halo``.  A row is copied into the
-    next bucket when it lies within ``lookback_seconds`` of that bucket's
-    start (and into the previous one when within ``lookahead_seconds`` of its
-    own bucket start), so range frames evaluated per (key, _tb) equal the
-    global ones.  Requires look-back/-ahead <= bucket width."""
-    if lookback_seconds > bucket_seconds or lookahead_seconds > bucket_seconds:
-        raise ValueError("halo wider than a bucket: raise bucket_seconds")
-    width = bucket_seconds * 1_000_000
-    tb = F.floor(F.col("_us") / F.lit(width))
-    parts = [df.withColumn("_tb", tb).withColumn("_halo", F.lit(False))]
-    if lookback_seconds > 0:
-        nxt_start = (tb + 1) * width
-        parts.append(df.filter(F.col("_us") >= nxt_start - lookback_seconds * 1_000_000)
-                       .withColumn("_tb", tb + 1).withColumn("_halo", F.lit(True)))
-    if lookahead_seconds > 0:
-        parts.append(df.filter(F.col("_us") < tb * width + lookahead_seconds * 1_000_000)
-                       .withColumn("_tb", tb - 1).withColumn("_halo", F.lit(True)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u
+    """Chunks of ``chunk_rows`` positions with halo copies by time: adds
+    ``_chunk`` and ``_halo`` to rows that have ``_gpos`` and the microsecond
+    epoch ``_us``.
+
+    A row is copied into a later chunk of its key that begins within
+    ``lookback_seconds`` after it, and into an earlier one that ends within
+    ``lookahead_seconds`` before it (rows of equal time always), so range
+    frames per (key, chunk) equal the global ones however dense the rows are.
+    The chunks that a chunk's rows may reach come from a table with two rows
+    per (key, chunk), its first and last time."""
+    back, ahead = lookback_seconds * 1_000_000, lookahead_seconds * 1_000_000
+    d = df_pos.withColumn("_chunk", F.floor(F.col("_gpos") / F.lit(chunk_rows)))
+    ends = d.groupBy(*keys, "_chunk").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
+    marks = ends.select(*keys, "_chunk", F.inline(F.array(F.struct(F.lit(True).alias("_starts"), F.col("_first").alias("_at")),
+                                                          F.struct(F.lit(False).alias("_starts"), F.col("_last").alias("_at")))))
+    w = Window.partitionBy(*keys).orderBy("_at")
+    mark = F.struct(F.col("_chunk").alias("c"), F.col("_at").alias("at"))
+    later = F.collect_list(F.when(F.col("_starts"), mark)).over(w.rangeBetween(0, back))
+    earlier = F.collect_list(F.when(~F.col("_starts"), mark)).over(w.rangeBetween(-ahead, 0))
+    near = (marks.select(*keys, "_chunk", "_starts", F.when(F.col("_starts"), earlier).otherwise(later).alias("_near"))
+                 .groupBy(*keys, "_chunk").agg(
+                     F.first(F.when(F.col("_starts"), F.col("_near")), ignorenulls=True).alias("_earlier"),
+                     F.first(F.when(~F.col("_starts"), F.col("_near")), ignorenulls=True).alias("_later"))
+                 .select(*keys, "_chunk", F.filter("_earlier", lambda m: m["c"] < F.col("_chunk")).alias("_earlier"),
+                         F.filter("_later", lambda m: m["c"] > F.col("_chunk")).alias("_later"))
+                 .filter((F.size("_earlier") > 0) | (F.size("_later") > 0))
+                 .select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_chunk").alias("_of_chunk"), "_earlier", "_later"))
+    match = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col("_chunk") == F.col("_of_chunk")]
+    reached = F.concat(F.filter("_earlier", lambda m: m["at"] >= F.col("_us") - ahead), F.filter("_later", lambda m: m["at"] <= F.col("_us") + back))
+    halo = (d.join(near, match).select(*[c for c in d.columns if c != "_chunk"], F.explode(F.transform(reached, lambda m: m["c"])).alias("_chunk"))
+             .withColumn("_halo", F.lit(True)))
+    return d.withColumn("_halo", F.lit(False)).unionByName(halo)
 
 
 def time_windowed(df: DataFrame, keys: Sequence[str], ts: str, build: Callable[[object], list[Column]],
-                  lookback_seconds: int, lookahead_seconds: int = 0, bucket_seconds: int = 86_400,
-                  tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Range-frame window features per key, evaluated per time bucket with halo.
+                  lookback_seconds: int, lookahead_seconds: int = 0, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                  tiebreak: Sequence[str] = (), partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+    """Range-frame window features per key, evaluated per chunk with a time halo.
 
-    ``build(w)`` gets a spec partitioned by (keys, bucket) ordered by the
+    ``build(w)`` gets a spec partitioned by (keys, chunk) ordered by the
     microsecond epoch ``_us`` (range frames in microseconds) and returns named
-    Columns.  A task holds one key's bucket plus its halo, never a whole key.
+    Columns.  A task holds ``chunk_rows`` rows of one key and what their frames
+    reach, never a whole key or day.
     """
     base_cols = df.columns
-    d = df.withColumn("_us", epoch_micros(ts))
-    u = time_chunks(d, bucket_seconds, lookback_seconds, lookahead_seconds)
-    w = Window.partitionBy(*keys, "_tb").orderBy("_us", *tiebreak)
+    pos = global_positions(df.withColumn("_us", epoch_micros(ts)), keys, ["_us", *tiebreak], partitions, checkpoint)
+    u = time_chunks(pos, keys, chunk_rows, lookback_seconds, lookahead_seconds)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("_us", *tiebreak)
     return (u.select(*base_cols, "_halo", *build(w))
              .filter(~F.col("_halo")).drop("_halo"))
 

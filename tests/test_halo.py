@@ -45,16 +45,33 @@ def test_fill_forward_equals_global(spark, chunk):
     assert _collect(got, ["feed_pb"]) == _collect(ref, ["feed_pb"])
 
 
-@pytest.mark.parametrize("bucket", [3600, 7200, 86400])
-def test_time_windowed_equals_global(spark, bucket):
+def _frames(w):
+    return [*W.burst_count(w, 1800, 2), *W.irregular_targets(w, "level", horizons=(5,), tol_minutes=30), *W.time_lags(w, ["level"])]
+
+
+FRAMES = ["n_window", "level_5min_ahead", "level_lag5min", "level_lag60min"]
+
+
+@pytest.mark.parametrize("chunk", [3, 40, 1000, 1 << 20])
+def test_time_windowed_equals_global(spark, chunk):
     d = _base(spark)
-    got = H.time_windowed(d, ["asset_id"], "ts", lambda w: W.burst_count(w, 1800, 2), lookback_seconds=1800,
-                          bucket_seconds=bucket)
-    ref = (d.withColumn("_us", H.epoch_micros("ts"))
-            .select("seq", *W.burst_count(Window.partitionBy("asset_id").orderBy("_us"), 1800, 2)))
-    a = {r["seq"]: r["n_window"] for r in got.collect()}
-    b = {r["seq"]: r["n_window"] for r in ref.collect()}
-    assert a == b
+    got = H.time_windowed(d, ["asset_id"], "ts", _frames, 3600, 2100, chunk_rows=chunk)
+    ref = d.withColumn("_us", H.epoch_micros("ts")).select("seq", *_frames(Window.partitionBy("asset_id").orderBy("_us")))
+    assert _collect(got, FRAMES) == _collect(ref, FRAMES)
+
+
+def test_one_asset_and_day_is_many_tasks(spark):
+    """5,000 rows of one asset within one day, some at equal times: no window
+    partition holds more than a chunk and the rows its frames reach."""
+    d = spark.range(5000).selectExpr("id as seq", "0 as asset_id", "cast(timestamp_seconds(id div 3 * 45) as timestamp_ntz) as ts", "cast(id * 7 % 101 as double) as level")
+    count = lambda w: W.burst_count(w, 3600, 2)  # noqa: E731  the same for all rows of a time
+    got = H.time_windowed(d, ["asset_id"], "ts", count, 3600, chunk_rows=200)
+    ref = d.withColumn("_us", H.epoch_micros("ts")).select("seq", *count(Window.partitionBy("asset_id").orderBy("_us")))
+    assert _collect(got, ["n_window"]) == _collect(ref, ["n_window"])
+    pos = H.global_positions(d.withColumn("_us", H.epoch_micros("ts")), ["asset_id"], ["_us", "seq"])
+    sizes = H.time_chunks(pos, ["asset_id"], 200, 3600, 2100).groupBy("asset_id", "_chunk").count().collect()
+    per_second = 3 / 45
+    assert len(sizes) == 25 and max(r["count"] for r in sizes) <= 200 + (3600 + 2100 + 90) * per_second
 
 
 def test_global_positions_are_dense(spark):

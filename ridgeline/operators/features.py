@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators import plugins as PL
 from ridgeline.functions import calendar as CAL
 from ridgeline.operators import windows as W
 from ridgeline.operators.quantiles import exact_quantiles
@@ -52,11 +53,12 @@ def catalogue(base: Sequence[str]) -> list[tuple[str, str, str]]:
 
 def build_features(df: DataFrame, base: Sequence[str], keys=("asset_id",), order=("ts", "seq"), ts: str = "ts",
                    target: str | None = None, horizon_rows: int = 1, chunk_rows: int = H.DEFAULT_CHUNK_ROWS,
-                   horizons: dict[int, int] | None = None) -> DataFrame:
+                   horizons: dict[int, int] | None = None, processors: Sequence[PL.FeatureProcessor] = ()) -> DataFrame:
     """Calendar, products, powers and all window features in one
     chunked window pass; optional labels: ``{target}_ahead`` (lead by
     ``horizon_rows``) and ``{target}_{h}min_ahead`` for ``horizons``
-    {minutes: rows} (W17)."""
+    {minutes: rows} (W17).  ``processors`` (X2) add their features in the same
+    window pass, and ``features_valid``."""
     ahead = [horizon_rows] if target is not None else []
     if horizons:
         ahead += list(horizons.values())
@@ -67,12 +69,16 @@ def build_features(df: DataFrame, base: Sequence[str], keys=("asset_id",), order
             cols.append(F.lead(target, horizon_rows).over(w).alias(f"{target}_ahead"))
             for h, rows in (horizons or {}).items():
                 cols.append(F.lead(target, rows).over(w).alias(f"{target}_{h}min_ahead"))
+        for p in processors:
+            cols += PL.prepared(df.columns, p, w)
         return cols
 
     # window pass first on the narrow input (what gets sorted and checkpointed),
     # row-local features after it: unused ones are pruned by Catalyst
-    win = H.row_windowed(df, list(keys), list(order), build, lookback=max(W.ROLL_ROWS - 1, max(LAGS), 2),
+    win = H.row_windowed(df, list(keys), list(order), build, lookback=max(W.ROLL_ROWS - 1, max(LAGS), 2, *[p.lookback for p in processors]),
                          lookahead=max(ahead) if ahead else 0, chunk_rows=chunk_rows)
+    if processors:
+        win = PL.checked_features(win, processors)
     return win.select("*", *CAL.time_features(ts), *CAL.interactions(base, N_INTERACT), *CAL.polynomials(base, N_POLY))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridgeline.operators import features as FT
+from ridgeline.operators import plugins as PL
 from ridgeline.operators import predictions as PR
 from ridgeline.operators import scenario as S
 from ridgeline.operators import tables_ops as TO
@@ -42,6 +43,30 @@ def features(spark, sf):
     return FT.build_features(kfin(spark, sf), T.TAGS, target="grade", horizon_rows=1)
 
 
+class ReagentLoad(PL.FeatureProcessor):
+    """A foreign processor: reagent per unit of feed, its change over twelve rows, share of KEX."""
+
+    requires, names, lookback = ("kex", "sipx", "feed_pb"), ("reagent_load", "reagent_load_change", "kex_share"), 12
+
+    def prepare(self, w):
+        load = lambda lag: (F.lag("kex", lag).over(w) + F.lag("sipx", lag).over(w)) / F.nullif(F.lag("feed_pb", lag).over(w), F.lit(0.0))
+        return [load(0), load(0) - load(12), F.col("kex") / F.nullif(F.col("kex") + F.col("sipx"), F.lit(0.0))]
+
+
+_LOAD = "(lag(kex, {0}) OVER {1} + lag(sipx, {0}) OVER {1}) / nullif(lag(feed_pb, {0}) OVER {1}, 0.0)"
+
+
+@query("foreign_features", O.with_ctes(R, FIN, KFIN, f"""
+x AS (SELECT seq, feed_pb, {_LOAD.format(0, WS)} AS a, {_LOAD.format(0, WS)} - {_LOAD.format(12, WS)} AS b, kex / nullif(kex + sipx, 0.0) AS c,
+             avg(feed_pb) OVER {W6} AS m FROM kfin)""", body="""
+SELECT seq, round(a, 6) AS reagent_load, round(b, 6) AS reagent_load_change, round(c, 6) AS kex_share, round(m, 6) AS feed_pb_roll_mean_30min,
+       a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AS features_valid FROM x"""))
+def foreign_features(spark, sf):
+    """A foreign feature processor in the library's feature build."""
+    f = FT.build_features(kfin(spark, sf), T.TAGS, processors=[ReagentLoad()])
+    return r6(f.select("seq", *ReagentLoad.names, "feed_pb_roll_mean_30min", "features_valid"))
+
+
 _FB = {"feed_pb_lag_3": f"lag(feed_pb, 3) OVER {WS}", "level_roll_max_30min": f"max(level) OVER {W6}",
        "air_flow_rate_of_change": f"air_flow - lag(air_flow, 1) OVER {WS}",
        "sipx_acceleration": f"sipx - 2 * lag(sipx, 1) OVER {WS} + lag(sipx, 2) OVER {WS}",

@@ -8,6 +8,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators import plugins as PL
 from ridgeline.plans import oracle as O
 from ridgeline.plans.q_clean import PREDS
 from ridgeline.plans.q_joins import ACTES, FIN, KFIN
@@ -97,3 +98,28 @@ def st_snapshot_all(spark, sf):
     """ST2 at all three cadences, one stream each."""
     parts = [spark.read.parquet(L.run_to_parquet(L.snapshots(L.live_readings(spark, sf), m), f"snapshot-{m}")) for m in L.CADENCES]
     return functools.reduce(DataFrame.unionByName, parts).withColumn("cadence_minutes", F.col("cadence_minutes").cast("int"))
+
+
+class GradeBands(PL.StatusAnalyser):
+    """A foreign analyser: status by grade and recovery bands."""
+
+    requires, statuses = ("grade", "recovery", "kex"), ("low", "good", "high")
+    ranges = {"grade": (12.0, 28.0), "recovery": (0.75, 0.9)}
+
+    def status(self):
+        lo, hi = self.ranges["grade"]
+        return F.when(F.col("kex") == 0, "off").when(F.col("grade") < lo, "low").when(F.col("grade") > hi, "high").when(F.col("grade").isNotNull(), "good")
+
+    def recommendations(self, status):
+        return F.when(status == "low", F.array(F.lit("Raise the grade"), F.lit("Check the feed"))).when(status == "high", F.array(F.lit("Save reagent"))).otherwise(
+            F.array().cast("array<string>"))
+
+
+@query("foreign_status", O.with_ctes(R, FIN, KFIN, body="""
+SELECT seq, asset_id, status, grade BETWEEN 12.0 AND 28.0 AND recovery BETWEEN 0.75 AND 0.9 AS in_range,
+       CASE status WHEN 'low' THEN 'Raise the grade | Check the feed' WHEN 'high' THEN 'Save reagent' ELSE '' END AS recommendations
+FROM (SELECT *, CASE WHEN kex = 0 THEN 'unknown' WHEN grade < 12.0 THEN 'low' WHEN grade > 28.0 THEN 'high' ELSE 'good' END AS status FROM kfin) x"""))
+def foreign_status(spark, sf):
+    """A foreign status analyser on the stream."""
+    out = L.run_to_parquet(L.enrich(L.live_readings(spark, sf), GradeBands()), "foreign-status")
+    return spark.read.parquet(out).select("seq", "asset_id", "status", "in_range", "recommendations")

@@ -19,6 +19,7 @@ from ridgeline.functions import process as P
 from ridgeline.functions import recs as RC
 from ridgeline.operators import clean as C
 from ridgeline.operators import joins as J
+from ridgeline.operators import plugins as PL
 from ridgeline.operators import predictions as PR
 from ridgeline.plans.halo import DEFAULT_CHUNK_ROWS, row_windowed
 from ridgeline.session import ensure_checkpoint_dir
@@ -43,10 +44,14 @@ def live_readings(spark: SparkSession, directory: str, files_per_trigger: int =
     return T.readings_from_events(ev).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def enrich(readings: DataFrame) -> DataFrame:
+def enrich(readings: DataFrame, analyser: PL.StatusAnalyser | None = None) -> DataFrame:
     """ST1: reading -> clean -> grade -> recovery -> status -> messages
-    (stateless projection; identical Columns to the batch path)."""
+    (stateless projection; identical Columns to the batch path).  An
+    ``analyser`` (X3) takes the place of the status and message rules."""
     k = T.with_kpis(C.inf_to_null(readings))
+    if analyser is not None:
+        return PL.analysed(k, analyser).select("seq", "asset_id", "ts", "grade", "recovery", "status", "in_range", P.input_confidence().alias("confidence"),
+                                               F.array_join("recommendations", " | ").alias("recommendations"))
     return k.select("seq", "asset_id", "ts", "grade", "recovery",
                     P.status_reagent("grade", F.col("recovery") * 100.0, "kex", "sipx").alias("status"),
                     P.input_confidence().alias("confidence"),

@@ -82,11 +82,11 @@ def own_features(token: str) -> tuple[str, ...]:
     """Size, the first runs of upper case, lower case, digits and others, the
     variety of characters, the share of digits; what else is striking."""
     bare = token.strip(TRIM)
-    n, head = len(bare), bare[:256]
-    kinds = head.translate(_CLASSES)
+    n = len(bare)
+    kinds = bare.translate(_CLASSES)
     digits = kinds.count("D")
-    out = ["bias", f"size={min(6, n.bit_length())}", f"shape={_RUN.sub(r'\1', kinds[:64])[:6]}", f"variety={min(5, len(set(head)) // 4)}",
-           f"digits={1 + int(3.99 * digits / len(head)) if digits else 0}"]
+    out = ["bias", f"size={min(6, n.bit_length())}", f"shape={_RUN.sub(r'\1', kinds)[:6]}", f"variety={min(5, len(set(bare)) // 4)}",
+           f"digits={1 + int(3.99 * digits / n) if digits else 0}"]
     if not bare.isascii():
         out.append("foreign")
     elif digits and n >= 8:
@@ -111,6 +111,7 @@ class Crf:
     context: frozenset
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
     sums: dict = field(default_factory=dict)  # of the own features met so far
+    plain: dict = field(default_factory=dict)  # (size, variety, capital) of a plain word -> outside whatever stands beside it?
 
     def beside(self, token: str) -> list[str]:
         """What a token tells its neighbours; nothing for most."""
@@ -145,14 +146,27 @@ class Crf:
     def facts(self, token: str):
         """A token's own scores, those for its neighbours (next, the one after,
         the one before), each with its lead over outside; which patterns it may
-        belong to.  None if it tells its neighbours nothing and is outside in
-        every best path."""
+        belong to; and which tokens, as offsets, it may bring into a secret.
+        None if it tells its neighbours nothing and is outside in every best
+        path."""
+        bare = token.strip(TRIM)
+        if len(token) < 32 and bare.isalpha() and bare.isascii() and bare[1:].islower():  # most tokens: one word
+            word = bare.lower()
+            if word != "is" and word not in self.context and token[-1] not in "=:" and not ("pass" in word or "secret" in word or "token" in word or "api" in word):
+                key = (len(bare), len(set(bare)) // 4, bare[0].isupper())
+                outside = self.plain.get(key)
+                if outside is None:
+                    outside = self.plain[key] = self.own(token)[1] + self.reach < 0
+                if outside:
+                    return None
         own, near = self.own(token), self.beside(token)
         flags = (has_keyword(token), "AKIA" in token, len(token) >= 32 and HEX.search(token) is not None)
         if not near and not any(flags) and own[1] + self.reach < 0:
             return None
         told = [self.sum([f"{at}:{x}" for x in near]) for at in ("prev", "prev2", "next")]
-        return own, *((s, max(0.0, lead(s))) for s in told), flags
+        told = [(s, max(0.0, lead(s))) for s in told]
+        wakes = [0] * (own[1] + self.reach >= 0) + [at for at, (_, more) in zip((1, 2, -1), told, strict=True) if more > 0]
+        return own, *told, flags, wakes
 
     def decode(self, scores: np.ndarray) -> list[int]:
         """Viterbi between two outside tokens."""
@@ -168,10 +182,11 @@ class Crf:
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(base spans, added spans), each (start, kind, end)."""
-        table = _TABLES.get(self.name)
-        if table is None:
+        tables = _TABLES.get(self.name)
+        if tables is None:
             _TABLES.clear()
-            table = _TABLES[self.name] = words.Table(self.facts)
+            tables = _TABLES[self.name] = words.Table(self.facts, 500_000), words.Table(self.own, 300_000)
+        table, own = tables
         tokens = text.split()
         got = [*map(table.__getitem__, tokens)]
         odd = [i for i, x in enumerate(got) if x is not None]
@@ -179,16 +194,16 @@ class Crf:
             return [], []
         flags = [any(got[i][4][k] for i in odd) for k in range(3)]
         base = base_spans(text, *flags)
-        look = sorted({j for i in odd for j in (i - 1, i, i + 1, i + 2) if 0 <= j < len(tokens)})
         file = self.sum(file_features(tokens, len(odd), flags[0]))
-        limit = 2 * float(self.moves.max() - self.moves.min())
-        nothing = (np.zeros(3), 0.0)
+        ahead, n = lead(file) + 2 * float(self.moves.max() - self.moves.min()), len(tokens)
         open_at: list[tuple[int, np.ndarray]] = []
-        for j in look:
-            all_of = [got[j][0] if got[j] else self.own(tokens[j]), (file, lead(file))]
-            all_of += [got[k][at] if 0 <= k < len(tokens) and got[k] else nothing for k, at in ((j - 1, 1), (j - 2, 2), (j + 1, 3))]
-            if sum([x[1] for x in all_of]) + limit >= 0:
-                open_at.append((j, sum([x[0] for x in all_of])))
+        for j in sorted({i + at for i in odd for at in got[i][5]}):
+            if not 0 <= j < n:
+                continue
+            x = [got[j][0] if got[j] else own[tokens[j]]]
+            x += [got[k][at] for k, at in ((j - 1, 1), (j - 2, 2), (j + 1, 3)) if 0 <= k < n and got[k]]
+            if sum([y[1] for y in x]) + ahead >= 0:
+                open_at.append((j, file + sum([y[0] for y in x])))
         tagged: list[tuple[int, int]] = []  # first and last token of a secret
         i = 0
         while i < len(open_at):
@@ -300,27 +315,41 @@ def marginals(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame) -> Crf:
-    """CRF from windows of a bounded sample (smallest hashes of doc_id): texts
-    that hold a base pattern, and others."""
-    t = util.texts(docs).select("doc_id", "text").withColumn("h", F.xxhash64("doc_id"))
+    """CRF from windows of a bounded sample of different rows (smallest hashes
+    of doc_id, then of the text): ``SAMPLE_HITS`` that hold a base pattern, and
+    ``SAMPLE_PLAIN`` others.  The patterns are sought among the smallest hashes
+    first, and among more of them until there are enough, which finds the same
+    rows as a search of all.  Rows that share a doc_id, or have none, count by
+    their texts; repeated rows count once; without rows nothing is tagged."""
     loose = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-    ids = lambda rows, n: rows.select("h", F.col("doc_id").alias("id")).orderBy("h", "id").limit(n)
-    chosen = ids(t.filter(F.col("text").rlike(loose)), SAMPLE_HITS).unionByName(ids(t, SAMPLE_PLAIN)).select("id").distinct()
+    t = util.texts(docs).select("text", F.xxhash64("doc_id").alias("h"))
+    total, share = docs.count(), 0.0
+    while True:
+        share = min(1.0, max(8 * share, 16 * SAMPLE_HITS / max(1, total)))
+        near = t.filter(F.col("h") <= int((share - 0.5) * 2 ** 64) if share < 1 else F.lit(True))
+        near = near.withColumn("th", F.xxhash64("text"))
+        first = lambda rows, n: rows.select("h", "th").distinct().orderBy("h", "th").limit(n).collect()
+        hits = first(near.filter(F.col("text").rlike(loose)), SAMPLE_HITS)
+        if len(hits) == SAMPLE_HITS or share == 1:
+            break
+    chosen = sorted({(r["h"], r["th"]) for r in hits + first(near, SAMPLE_PLAIN)})
 
     def run(batches):
         for b in batches:
             got = [w for x in b.column(0).to_pylist() for w in windows(x)]
             yield pa.RecordBatch.from_arrays([pa.array([[x for x, _ in w] for w in got], pa.list_(pa.string())), pa.array([[y for _, y in w] for w in got], pa.list_(pa.int32()))], ["tokens", "tags"])
 
-    rows = (t.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    keys = docs.sparkSession.createDataFrame(chosen, "h bigint, th bigint")
+    rows = (near.join(F.broadcast(keys), ["h", "th"], "left_semi").select("text")
             .mapInArrow(run, "tokens array<string>, tags array<int>").distinct().orderBy("tokens", "tags").collect())
-    return train([list(zip([x[:256] for x in r.tokens], r.tags, strict=True)) for r in rows])
+    return train([list(zip(r.tokens, r.tags, strict=True)) for r in rows])
 
 
 def scan(docs: DataFrame, crf: Crf) -> DataFrame:
     """One row per row of ``docs``: doc_id, number of base spans by kind,
     digest of the base spans, all spans.  Offsets are code points.  Null texts
-    count as empty (no spans); other columns are ignored."""
+    count as empty (no spans); a null doc_id stays null; repeated rows each
+    give a row; an empty table gives none; other columns are ignored."""
     def run(batches):
         for b in batches:
             out: list[tuple] = []

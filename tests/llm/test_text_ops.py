@@ -332,3 +332,18 @@ def test_shards(edge_docs, edge_rows, no_docs, limit):
             inside = [r for r in rows if r.shard.startswith(name[:-1])]
             assert sum(r.n_bytes for r in inside) > limit and len(inside) > 1
     assert sharding.shards(no_docs, limit).count() == 0
+
+
+def test_secret_sample_is_bounded_by_rows(spark, monkeypatch):
+    """Rows without ids or with one id bring no more windows than the sample allows, however many there are."""
+    from ridgeline.llm import secrets
+    monkeypatch.setattr(secrets, "SAMPLE_HITS", 10)
+    monkeypatch.setattr(secrets, "SAMPLE_PLAIN", 5)
+    seen = []
+    monkeypatch.setattr(secrets, "train", lambda pieces: seen.append(len(pieces)))
+    rows = [(None if i % 2 else 7, f"some words {i} password = abcdefgh{i} and more words {i}") for i in range(3000)] + [(None, "token: 0123456789abc")] * 2000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    secrets.fit(df)
+    secrets.fit(spark.createDataFrame([(i, f"plain {i}") for i in range(500)] + rows[:4], "doc_id bigint, text string"))
+    secrets.fit(df.limit(0))
+    assert 10 <= seen[0] <= 15 * (secrets.WINDOWS + 2) and 4 <= seen[1] <= 15 * (secrets.WINDOWS + 2) and seen[2] == 0

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ridgeline.operators.joins import retain
 from ridgeline.session import reliable_checkpoint
@@ -37,10 +39,16 @@ def scan_monthly(spark: SparkSession, directory: str, tag: str = "", schema=None
 
 
 def read_training_set(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Horizon training set with an existence and target-column check."""
-    df = spark.read.parquet(path)
+    """A stored training set; refuses one that isn't there, or has no
+    numeric ``target``."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no training set at {path}") from e
     if target not in df.columns:
         raise ValueError(f"target column {target} not found in {path}")
+    if not isinstance(df.schema[target].dataType, NumericType):
+        raise ValueError(f"target column {target} of {path} is not numeric")
     return df
 
 

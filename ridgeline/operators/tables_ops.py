@@ -116,9 +116,8 @@ def sample_stratified(df: DataFrame, bin_col: str, frac: float, seed: int = 42,
 
     Bin sizes come from one small aggregate; the per-bin cut-offs are exact
     order statistics of per-bin hash columns (one refinement search for all
-    bins), so no bin is ranked inside a single task.  (Rows sharing the
-    exact cut-off hash of a bin are all kept; with 52-bit hashes that is
-    vanishingly rare.)"""
+    bins), so no bin is ranked inside a single task.  Of the rows that share
+    a bin's cut-off hash, as many are kept, in key order, as are missing."""
     from ridgeline.operators.quantiles import column_profile, exact_order_stats
     d = df.withColumn("_h", _hash52(key, seed))
     sizes = {r[bin_col]: r["n"] for r in d.groupBy(bin_col).agg(F.count(F.lit(1)).alias("n")).collect()}  # <= bins
@@ -126,14 +125,18 @@ def sample_stratified(df: DataFrame, bin_col: str, frac: float, seed: int = 42,
     cols = {b: f"_h_{i}" for i, b in enumerate(sorted(sizes))}
     dd = d.select("*", *[F.when(F.col(bin_col) == b, F.col("_h")).alias(c) for b, c in cols.items()])
     want = {cols[b]: [keep[b] - 1] for b in sizes if 0 < keep[b] < sizes[b]}
-    stats = exact_order_stats(dd, want) if want else {}
-    cond = F.lit(False)
-    for b in sizes:
-        if keep[b] >= sizes[b]:
-            cond = cond | (F.col(bin_col) == b)
-        elif keep[b] > 0:
-            cond = cond | ((F.col(bin_col) == b) & (F.col("_h") <= stats[cols[b]][keep[b] - 1]))
-    return d.filter(cond).drop("_h")
+    whole = d.filter(F.col(bin_col).isin([b for b in sizes if keep[b] >= sizes[b]])).drop("_h")
+    if not want:
+        return whole
+    stats = exact_order_stats(dd, want)
+    cut = {b: stats[cols[b]][keep[b] - 1] for b in sizes if cols[b] in want}
+    by_bin = lambda values: reduce(lambda c, b: c.when(F.col(bin_col) == b, F.lit(values[b])), values, F.when(F.lit(False), F.lit(None)))
+    parts = d.filter(F.col(bin_col).isin(list(cut))).withColumn("_cut", by_bin(cut))
+    below = parts.filter("_h < _cut")
+    got = {r[bin_col]: r["n"] for r in below.groupBy(bin_col).agg(F.count(F.lit(1)).alias("n")).collect()}  # <= bins
+    place = F.row_number().over(Window.partitionBy(bin_col).orderBy(*key))
+    ties = parts.filter("_h = _cut").withColumn("_place", place).filter(F.col("_place") <= by_bin({b: keep[b] - got.get(b, 0) for b in cut}))
+    return whole.unionByName(below.drop("_h", "_cut")).unionByName(ties.drop("_h", "_cut", "_place"))
 
 
 def _round_half_up(x: float) -> int:

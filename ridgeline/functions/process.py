@@ -208,6 +208,17 @@ def status_in_range(value, lo, hi) -> Column:
     return F.when((v >= lo) & (v <= hi), "optimal").otherwise("warning")
 
 
+def status_value(value, lo: float, hi: float, known=None) -> Column:
+    """F11 (value cut-offs): a known status stands; without one, below ``lo``
+    is critical, ``hi`` and more a warning, and what is between optimal (a
+    missing value, too)."""
+    v = _c(value)
+    by_value = F.when(v < lo, "critical").when(v >= hi, "warning").otherwise("optimal")
+    if known is None:
+        return by_value
+    return F.when(_c(known).isin("critical", "warning", "optimal"), _c(known)).otherwise(by_value)
+
+
 def input_confidence(kex="kex", sipx="sipx", air="air_flow", ph=None, history_rows=None) -> Column:
     """additive input-quality confidence, clamp 0.7-0.98, 3 decimals."""
     k = F.coalesce(_c(kex), F.lit(45.0))

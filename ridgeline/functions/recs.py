@@ -39,6 +39,28 @@ SERVICE_MSGS = {
 }
 SERVICE_LIMITS = {"rec": (75.0, 95.0), "kex": (35.0, 55.0), "sipx": (20.0, 35.0), "air": (120.0, 180.0),
                   "ph": (10.5, 11.5), "feed": (2.0, 3.5)}
+# Status-driven texts: four per status, then one each where the grade or the
+# recovery (%) lies below or above these values.
+STATUS_MSGS = {
+    "critical": ("Immediate intervention required - process outside safe limits", "Check KEX and SIPX reagent dosing systems",
+                 "Verify Pb concentrate grade measurements", "Review feed Pb grade and characteristics"),
+    "warning": ("Monitor process parameters closely - approaching limits", "Consider fine-tuning KEX and SIPX flow rates",
+                "Check cell level and froth height stability", "Review air flow and bubble size distribution"),
+    "optimal": ("Process operating within optimal ranges", "Continue current operating parameters",
+                "Maintain regular monitoring schedule", "Excellent Pb concentrate grade and recovery achieved"),
+}
+STATUS_VALUE_MSGS = {  # (status, measure): (low, text below it, high, text above it)
+    ("critical", "grade"): (15.0, "Increase collector (KEX) dosage to improve Pb recovery", 35.0, "Reduce collector dosage to prevent over-flotation"),
+    ("critical", "recovery"): (80.0, "Optimize air flow and froth height for better recovery", 95.0, "Check for potential over-flotation conditions"),
+    ("warning", "grade"): (18.0, "Slightly increase KEX dosage", 32.0, "Consider reducing KEX dosage"),
+}
+# Multi-horizon texts, target band (%), changes that are worth a text, least mean confidence.
+MSG_MH_FAILED = "WARNING: Multi-horizon optimization failed. Using current settings."
+MSG_MH_SCORE = "Multi-horizon optimization score: %s"
+MSG_MH_IN, MSG_MH_OUT = "%smin: %s%% Pb (target range) - Confidence: %s%%", "%smin: %s%% Pb (outside target) - Confidence: %s%%"
+MSG_MH_CHANGE = "%s %s from %s to %s L/min"
+MSG_MH_LOW = "Low prediction confidence (%s%%) - consider manual verification"
+MH_TARGET, MH_KEX_CHANGE, MH_SIPX_CHANGE, MH_LEAST_CONFIDENCE = (9.5, 11.5), 2.0, 1.0, 0.7
 # F14 dynamic tolerances
 IMPROVE_BASE, KEX_TOL, SIPX_TOL = 0.005, 1.5, 0.8
 PB_BASE = (15.0, 35.0)
@@ -55,13 +77,19 @@ def fmt1(x: Column) -> Column:
     return F.format_string("%.1f", round_half_up(x, 1))
 
 
+def time_label(ts: Column) -> Column:
+    """the HH:mm label of a time."""
+    return F.date_format(ts, "HH:mm")
+
+
 def _compact(items: list[Column]) -> Column:
     return F.filter(F.array(*items), lambda m: m.isNotNull())
 
 
 def optimization_messages(cur_kex, cur_sipx, opt_kex, opt_sipx, improvement, variability, current_pb,
                           opt_recovery, opt_conc) -> Column:
-    """F13 (optimizer) with F14 tolerances and F22 number text."""
+    """F13 (optimizer) with F14 tolerances and F22 number text.  Without an
+    improvement the optimizer has failed, and says so."""
     kd, sd = opt_kex - cur_kex, opt_sipx - cur_sipx
     imp_tol = F.lit(IMPROVE_BASE) * (F.lit(1.0) + variability)
     kex_tol = F.lit(KEX_TOL) * F.greatest(F.lit(0.5), F.least(F.lit(2.0), cur_kex / 50.0))
@@ -82,7 +110,49 @@ def optimization_messages(cur_kex, cur_sipx, opt_kex, opt_sipx, improvement, var
         change(sd, "SIPX", cur_sipx, opt_sipx, 1.0),
         F.format_string(MSG_OUTCOME, fmt1(opt_recovery * 100.0), fmt1(opt_conc)),
     ])
-    return F.when(optimal, F.array(F.lit(MSG_TARGETS))).otherwise(full)
+    return F.when(improvement.isNull(), F.array(F.lit(MSG_FAILED))).when(optimal, F.array(F.lit(MSG_TARGETS))).otherwise(full)
+
+
+def status_messages(status: Column, grade: Column, recovery_pct: Column) -> Column:
+    """F13 (status driven): the texts of the status, then those that the grade
+    and the recovery (%) add.  Any other status, a null one too, counts as
+    optimal; a null measure as 0."""
+    known = F.when(status.isin("critical", "warning"), status).otherwise("optimal")
+    measures = {"grade": F.coalesce(grade, F.lit(0.0)), "recovery": F.coalesce(recovery_pct, F.lit(0.0))}
+    base = F.when(known == "critical", F.array(*map(F.lit, STATUS_MSGS["critical"])))
+    for name in ("warning", "optimal"):
+        base = base.when(known == name, F.array(*map(F.lit, STATUS_MSGS[name])))
+    extra = [F.when((known == name) & (measures[m] < lo), F.lit(low)).when((known == name) & (measures[m] > hi), F.lit(high))
+             for (name, m), (lo, low, hi, high) in STATUS_VALUE_MSGS.items()]
+    return F.concat(base, _compact(extra))
+
+
+def multi_horizon_messages(score: Column, horizons: dict[int, tuple[Column, Column]], cur_kex: Column, cur_sipx: Column,
+                           opt_kex: Column, opt_sipx: Column, target=MH_TARGET) -> Column:
+    """F13 (multi-horizon): the score, one text per horizon from its predicted
+    grade and the r2 of its model (in the order given; a horizon without both
+    has none), the changes of reagents that are large enough, and a
+    warning where the mean confidence is low (an r2 that is missing counts as
+    0.8).  Without a score the search has failed."""
+    def percent(x):
+        return fmt1(x * 100.0)
+
+    def change(name, cur, opt, least):
+        word = F.when(opt > cur, "Increase").otherwise("Decrease")
+        return F.when(F.abs(opt - cur) > least, F.format_string(MSG_MH_CHANGE, word, F.lit(name), fmt1(cur), fmt1(opt)))
+
+    def horizon(h, p, r2):
+        words = (F.lit(str(h)), fmt1(p), percent(r2))
+        there = p.isNotNull() & r2.isNotNull()
+        return F.when(there, F.when(p.between(*target), F.format_string(MSG_MH_IN, *words)).otherwise(F.format_string(MSG_MH_OUT, *words)))
+
+    per_horizon = [horizon(h, p, r2) for h, (p, r2) in horizons.items()]
+    mean = sum((F.coalesce(r2, F.lit(0.8)) for _, r2 in horizons.values()), F.lit(0.0)) / float(len(horizons))
+    said = _compact([
+        F.format_string(MSG_MH_SCORE, F.format_string("%.3f", round_half_up(score, 3))), *per_horizon,
+        change("KEX", cur_kex, opt_kex, MH_KEX_CHANGE), change("SIPX", cur_sipx, opt_sipx, MH_SIPX_CHANGE),
+        F.when(mean < MH_LEAST_CONFIDENCE, F.format_string(MSG_MH_LOW, percent(mean)))])
+    return F.when(score.isNull(), F.array(F.lit(MSG_MH_FAILED))).otherwise(said)
 
 
 def service_messages(grade, recovery_frac, kex, sipx, air=None, ph=None, feed=None, band=(15.0, 35.0)) -> Column:

@@ -131,6 +131,19 @@ def validate_ranges(df: DataFrame, ranges: dict = PARAM_RANGES) -> DataFrame:
     return df.withColumn("violations", v).withColumn("is_valid", F.size("violations") == 0)
 
 
+# --- fixed values that must equal the reference's ---------------------------
+# Typical values of process tags that the live feed lacks.
+TAG_DEFAULTS = {
+    "Pb_Rougher2_KEX_Flowrate": 30.0, "Pb_Conditioner_Nigrosine_Flowrate": 5.0, "Pb_Rougher1_Valve": 65.0,
+    "Pb_Scavenger1_Valve": 60.0, "Pb_Rougher_Conc_FlowA": 80.0, "Pb_Rougher_Conc_FlowB": 75.0,
+    "Pb_Final_Conc_FlowA": 85.0, "Pb_Cleaner1_Valve": 70.0, "Pb_Cleaner1_AirFlow": 100.0,
+    "Pb_Cleaner1_DiluteNigrosine_Flowrate": 3.0, "Pb_Cleaner1_Nigrosine_Flowrate": 2.0, "Pb_Cleaner3_Valve": 65.0,
+    "Pb_Cleaner3_DiluteNigrosine_Flowrate": 2.5, "Pb_Rougher_Conc_Pb": 25.0, "Pb_Final_Conc_Pb": 28.0,
+    "Pb_Rougher2_AirFlow_roll15": 110.0,
+}
+# ---------------------------------------------------------------------------
+
+
 def feature_contract(df: DataFrame, expected: Sequence[str], defaults: dict | None = None,
                      fill: float = 0.0, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Expected names in order; missing ones added as a constant

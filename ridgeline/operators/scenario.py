@@ -26,6 +26,7 @@ RAMP_DEFAULT = (45.0, 25.0)         # state used for the ramp when missing
 GRADE_PENALTY, BOUNDS_PENALTY = 0.1, 0.1
 VARIABILITY_CLAMP = (0.05, 0.3)
 MULTI_HORIZONS = (5, 15, 30, 60)
+STEP_MINUTES = 10                   # between simulated steps
 # ---------------------------------------------------------------------------
 GRADE_BAND = (15.0, 35.0)           # section 8: band is a parameter
 

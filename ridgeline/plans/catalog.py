@@ -10,3 +10,4 @@ from ridgeline.plans import q_select  # noqa: F401
 from ridgeline.plans import q_ml  # noqa: F401
 from ridgeline.plans import q_stream  # noqa: F401
 from ridgeline.plans import q_rules  # noqa: F401
+from ridgeline.plans import q_files  # noqa: F401

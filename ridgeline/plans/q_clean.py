@@ -97,15 +97,18 @@ def validate_ranges(spark, sf):
     return v.select("seq", "asset_id", F.array_join("violations", ",").alias("violations"), "is_valid")
 
 
-CONTRACT = ["feed_pb", "kex", "Pb_Rougher2_KEX_Flowrate", "sipx", "air_flow", "Pb_Rougher1_Valve", "level_lag1"]
-CONTRACT_DEFAULTS = {"feed_pb": 1.47, "Pb_Rougher2_KEX_Flowrate": 30.0, "Pb_Rougher1_Valve": 65.0}
+CONTRACT = ["feed_pb", "kex", "sipx", "air_flow", "level_lag1", *C.TAG_DEFAULTS]
+CONTRACT_DEFAULTS = {"feed_pb": 1.47, **C.TAG_DEFAULTS}
+_ABSENT = ", ".join(f"{v}::DOUBLE AS {c}" for c, v in C.TAG_DEFAULTS.items() if c != "Pb_Rougher1_Valve")
 
 
-@query("feature_contract", O.with_ctes(R, body="""
-SELECT seq, coalesce(feed_pb, 1.47) AS feed_pb, kex, 30.0::DOUBLE AS Pb_Rougher2_KEX_Flowrate, sipx, air_flow,
-       65.0::DOUBLE AS Pb_Rougher1_Valve, 0.0::DOUBLE AS level_lag1 FROM readings"""))
+@query("feature_contract", O.with_ctes(R, body=f"""
+SELECT seq, coalesce(feed_pb, 1.47) AS feed_pb, kex, sipx, air_flow, 0.0::DOUBLE AS level_lag1,
+       CASE WHEN isinf(level) THEN 65.0 ELSE level END AS Pb_Rougher1_Valve, {_ABSENT} FROM readings"""))
 def feature_contract(spark, sf):
-    out, _missing = C.feature_contract(T.readings(spark, sf), CONTRACT, CONTRACT_DEFAULTS, keep=["seq"])
+    """P11 with the 16 defaults of P14; one of the tags is fed, with gaps."""
+    r = T.readings(spark, sf).withColumn("Pb_Rougher1_Valve", F.when(F.abs("level") < float("inf"), F.col("level")))
+    out, _missing = C.feature_contract(r, CONTRACT, CONTRACT_DEFAULTS, keep=["seq"])
     return out
 
 

@@ -1,10 +1,7 @@
-"""Queries for per-row process rules (F6, F7, F11, F12) with roll-ups, and
-the file sources/sinks (S1, S5, S6, S8)."""
+"""Queries for per-row process rules (F6, F7, F11, F12) with roll-ups."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ridgeline.functions import process as P
@@ -12,9 +9,7 @@ from ridgeline.plans import oracle as O
 from ridgeline.plans.q_joins import FIN, KFIN, kfin
 from ridgeline.plans.q_predictions import r6
 from ridgeline.plans.registry import query
-from ridgeline.sources import sinks as SK
 from ridgeline.sources import tables as T
-from ridgeline.streaming.live import scratch
 
 R = O.READINGS
 
@@ -90,6 +85,22 @@ def range_status(spark, sf):
                     P.status_in_range("sipx", 20.0, 40.0).alias("sipx_control_status"))
 
 
+@query("value_status", O.with_ctes(R, FIN, KFIN, body=f"""
+SELECT seq, CASE WHEN grade < 15 THEN 'critical' WHEN grade >= 25 THEN 'warning' ELSE 'optimal' END AS grade_status,
+       CASE WHEN recovery * 100.0 < 75 THEN 'critical' WHEN recovery * 100.0 >= 95 THEN 'warning' ELSE 'optimal' END AS recovery_status,
+       CASE WHEN level IS NOT NULL THEN {O.status_reagent('grade', 'recovery * 100.0', 'kex', 'sipx')}
+            WHEN grade < 15 THEN 'critical' WHEN grade >= 25 THEN 'warning' ELSE 'optimal' END AS shown_status
+FROM kfin"""))
+def value_status(spark, sf):
+    """value cut-offs of grade and recovery; the status of the model is
+    shown where there is one (here: where the level was measured)."""
+    k = kfin(spark, sf)
+    known = F.when(F.col("level").isNotNull(), P.status_reagent("grade", F.col("recovery") * 100.0, "kex", "sipx"))
+    return k.select("seq", P.status_value("grade", 15.0, 25.0).alias("grade_status"),
+                    P.status_value(F.col("recovery") * 100.0, 75.0, 95.0).alias("recovery_status"),
+                    P.status_value("grade", 15.0, 25.0, known).alias("shown_status"))
+
+
 @query("input_confidence", O.with_ctes(R, FIN, body=f"""
 SELECT seq, {O.rhu('''greatest(0.7, least(0.98, 0.85 + CASE WHEN coalesce(kex, 45.0) BETWEEN 30 AND 60 THEN 0.05 ELSE 0.0 END
              + CASE WHEN coalesce(sipx, 25.0) BETWEEN 15 AND 40 THEN 0.05 ELSE 0.0 END
@@ -103,56 +114,3 @@ def input_confidence(spark, sf):
     h = row_windowed(r, ["asset_id"], ["ts", "seq"],
                      lambda w: [F.count(F.lit(1)).over(w.rowsBetween(-20, -1)).alias("history_rows")], 20)
     return h.select("seq", P.input_confidence(history_rows="history_rows").alias("confidence"))
-
-
-@query("scan_monthly")
-def scan_monthly(spark, sf):
-    """Write the two half-month frames as monthly files (schema drift),
-    then scan the folder by name pattern with merged columns."""
-    m1, m2 = T.readings_months(T.readings(spark, sf))
-    d = scratch(spark, "monthly")
-    m1.write.parquet(os.path.join(d, "sensor_2024_01a.parquet"))
-    m2.write.parquet(os.path.join(d, "sensor_2024_01b.parquet"))
-    out = SK.scan_monthly(spark, os.path.join(d, "*"), tag="")
-    return out.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("n_level"),
-                                          F.count("spare").alias("n_spare"))
-
-
-@query("sink_parquet")
-def sink_parquet(spark, sf):
-    """Write once, refuse a second write without overwrite, read back."""
-    d = scratch(spark, "sink")
-    r = T.readings(spark, sf)
-    SK.sink_parquet(r, d)
-    refused = False
-    try:
-        SK.sink_parquet(r, d)
-    except Exception:  # noqa: BLE001  (AnalysisException: path exists)
-        refused = True
-    back = spark.read.parquet(d)
-    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(refused).alias("refused_second_write"))
-
-
-@query("export_csv")
-def export_csv(spark, sf):
-    """CSV export of a table, read back with its header."""
-    d = scratch(spark, "csv")
-    SK.export_csv(SK.export_long(kfin(spark, sf)), d)
-    return spark.read.option("header", True).csv(d).groupBy("Parameter").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("append_tables")
-def append_tables(spark, sf):
-    """Append sensor / calculated rows partitioned by day, twice (two
-    ticks), then count per table and day folder."""
-    base = scratch(spark, "tables")
-    k = kfin(spark, sf).withColumn("status", P.status_reagent("grade", F.col("recovery") * 100.0, "kex", "sipx"))
-    first = k.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
-    second = k.filter(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz"))
-    for part in (first, second):
-        SK.append_table(SK.to_sensor_table(part), os.path.join(base, "sensor"))
-        SK.append_table(SK.to_calculated_table(part), os.path.join(base, "calculated"))
-    s = spark.read.parquet(os.path.join(base, "sensor")).groupBy("dt").agg(F.count(F.lit(1)).alias("n_sensor"))
-    c = spark.read.parquet(os.path.join(base, "calculated")).groupBy("dt").agg(
-        F.count(F.lit(1)).alias("n_calculated"), F.avg("model_confidence").alias("avg_confidence"))
-    return s.join(c, "dt")

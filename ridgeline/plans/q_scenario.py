@@ -156,16 +156,21 @@ def recommendations(spark, sf):
                     RC.to_json_list(F.col("msgs")).alias("recommendations_json"))
 
 
-def _svc_sql():
+def _lit(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _filled(tpl, *args):
+    parts = tpl.split("%s")
+    out = _lit(parts[0].replace("%%", "%"))
+    for a, p in zip(args, parts[1:]):
+        out += f" || {a} || {_lit(p.replace('%%', '%'))}"
+    return out
+
+
+def svc_sql():
     M = RC.SERVICE_MSGS
-    def lit(s):
-        return "'" + s.replace("'", "''") + "'"
-    def fmt(tpl, *args):
-        parts = tpl.split("%s")
-        out = lit(parts[0].replace("%%", "%"))
-        for a, p in zip(args, parts[1:]):
-            out += f" || {a} || {lit(p.replace('%%', '%'))}"
-        return out
+    lit, fmt = _lit, _filled
     rec = "(recovery * 100.0)"
     items = [f"CASE WHEN grade < 15.0 THEN {fmt(M['pb_low'], _fmt1('grade'), lit('15.0'))} "
              f"WHEN grade > 35.0 THEN {fmt(M['pb_high'], _fmt1('grade'), lit('35.0'))} END",
@@ -179,13 +184,48 @@ def _svc_sql():
 
 
 @query("recommendations_service", O.with_ctes(R, FIN, KFIN, body=f"""
-SELECT seq, array_to_string({_svc_sql()}, ' | ') AS recommendations FROM kfin"""))
+SELECT seq, array_to_string({svc_sql()}, ' | ') AS recommendations FROM kfin"""))
 def recommendations_service(spark, sf):
     k = kfin(spark, sf)
     return k.select("seq", F.array_join(RC.service_messages(F.col("grade"), F.col("recovery"), F.col("kex"), F.col("sipx")),
                                         " | ").alias("recommendations"))
 
 
+def _status_sql():
+    texts = {k: "[" + ", ".join(map(_lit, v)) + "]" for k, v in RC.STATUS_MSGS.items()}
+    base = f"CASE status WHEN 'critical' THEN {texts['critical']} WHEN 'warning' THEN {texts['warning']} ELSE {texts['optimal']} END"
+    measure = {"grade": "grade", "recovery": "(recovery * 100.0)"}
+    extra = [f"CASE WHEN status = '{st}' AND {measure[m]} < {lo} THEN {_lit(low)} WHEN status = '{st}' AND {measure[m]} > {hi} THEN {_lit(high)} END"
+             for (st, m), (lo, low, hi, high) in RC.STATUS_VALUE_MSGS.items()]
+    return f"list_concat({base}, list_filter([{', '.join(extra)}], lambda m: m IS NOT NULL))"
+
+
+@query("status_recommendations", O.with_ctes(R, FIN, KFIN, f"""
+st AS (SELECT *, {O.status_reagent('grade', 'recovery * 100.0', 'kex', 'sipx')} AS status FROM kfin)""", body=f"""
+SELECT seq, status, array_to_string({_status_sql()}, ' | ') AS recommendations FROM st"""))
+def status_recommendations(spark, sf):
+    """texts that the status of a reading calls for."""
+    k = kfin(spark, sf).withColumn("status", P.status_reagent("grade", F.col("recovery") * 100.0, "kex", "sipx"))
+    return k.select("seq", "status", F.array_join(RC.status_messages(F.col("status"), F.col("grade"), F.col("recovery") * 100.0),
+                                                  " | ").alias("recommendations"))
+
+
+@query("simulation_series", O.with_ctes(R, FIN, KFIN, PC, f"""
+st AS (SELECT pc.*, s.step,
+              CASE WHEN s.step < 3 THEN coalesce(kex, 45.0) * (1 - (s.step + 1) / 3.0::DOUBLE) + ck * ((s.step + 1) / 3.0::DOUBLE) ELSE ck END AS kex_eff,
+              CASE WHEN s.step < 3 THEN coalesce(sipx, 25.0) * (1 - (s.step + 1) / 3.0::DOUBLE) + cs * ((s.step + 1) / 3.0::DOUBLE) ELSE cs END AS sipx_eff
+       FROM pc, (SELECT range AS step FROM range(6)) s)""", f"""
+sg AS (SELECT *, {O.grade('feed_pb', 'kex_eff', 'sipx_eff', 'air_flow', 'level')} AS sim_grade FROM st)""", body=f"""
+SELECT seq, step, strftime(ts + step * INTERVAL {S.STEP_MINUTES} MINUTE, '%H:%M') AS time_label, sim_grade AS current_concentrate,
+       round({O.recovery_pct('sim_grade', 'feed_pb', 'kex_eff', 'sipx_eff', 'air_flow', 'level')}, 6) AS current_recovery FROM sg"""))
+def simulation_series(spark, sf):
+    """the plotted series of the current setting, labelled HH:mm."""
+    x = S.scenario_steps(points(spark, sf)).filter(F.col("cand_id") == 0)
+    at = F.col("ts") + F.make_dt_interval(mins=F.col("step") * S.STEP_MINUTES)
+    return x.select("seq", "step", RC.time_label(at).alias("time_label"), F.col("sim_grade").alias("current_concentrate"),
+                    F.round(F.col("sim_recovery") * 100.0, 6).alias("current_recovery"))
+
+
 PARSED = """
 parsed AS (
   SELECT seq, idx - 1 AS idx, rec, current_kex, current_sipx,

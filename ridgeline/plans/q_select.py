@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ridgeline.functions import recs as RC
 from ridgeline.operators import features as FT
 from ridgeline.operators import plugins as PL
 from ridgeline.operators import predictions as PR
@@ -220,6 +221,43 @@ def multi_horizon_score(spark, sf):
     return s.select("seq", "cand_id", "predicted_grade", F.round("total_score", 6).alias("total_score"))
 
 
+def _mh_text_sql():
+    f1 = lambda x: f"printf('%.1f', {O.rhu(x, 1)})"
+    kinds = [(RC.MSG_MH_IN, True), (RC.MSG_MH_OUT, False)]
+    lo, hi = RC.MH_TARGET
+    per = []
+    for h in S.MULTI_HORIZONS:
+        text = {inside: "'" + m.replace("%s%%", "{v}").replace("%smin", f"{h}min").replace("%%", "%") + "'" for m, inside in kinds}
+        both = {k: v.replace("{v}", f"' || {f1('pg')} || '%", 1).replace("{v}", f"' || {f1(f'r2_{h} * 100.0')} || '%", 1) for k, v in text.items()}
+        per.append(f"CASE WHEN r2_{h} IS NOT NULL THEN CASE WHEN pg BETWEEN {lo} AND {hi} THEN {both[True]} ELSE {both[False]} END END")
+    change = [f"CASE WHEN abs({o} - {c}) > {least} THEN (CASE WHEN {o} > {c} THEN 'Increase' ELSE 'Decrease' END) || ' {name} from ' || {f1(c)} || ' to ' || {f1(o)} || ' L/min' END"
+              for name, c, o, least in (("KEX", "ck", "cand_kex", RC.MH_KEX_CHANGE), ("SIPX", "cs", "cand_sipx", RC.MH_SIPX_CHANGE))]
+    mean = "((0.0" + "".join(f" + coalesce(r2_{h}, 0.8)" for h in S.MULTI_HORIZONS) + f") / {len(S.MULTI_HORIZONS)}.0)"
+    low = f"CASE WHEN {mean} < {RC.MH_LEAST_CONFIDENCE} THEN 'Low prediction confidence (' || {f1(mean + ' * 100.0')} || '%) - consider manual verification' END"
+    score = f"'Multi-horizon optimization score: ' || printf('%.3f', {O.rhu('total_score', 3)})"
+    said = f"list_filter([{', '.join([score, *per, *change, low])}], lambda m: m IS NOT NULL)"
+    return f"CASE WHEN total_score IS NULL THEN ['{RC.MSG_MH_FAILED}'] ELSE {said} END"
+
+
+@query("multi_horizon_recommendations", O.with_ctes(R, FIN, KFIN, CALC, PREDS, BASE[-1], REG, _MH[0], _MH[1], f"""
+mh AS (SELECT k.seq, coalesce(k.kex, 60.0) AS ck, coalesce(k.sipx, 30.0) AS cs, c.*, {O.grade("feed_pb", "cand_kex", "cand_sipx", "air_flow", "level")} AS pg, rr.*
+       FROM kfin k, cands c, rr)""", f"""
+best AS (SELECT *, round({_MH_TOTAL}, 9) AS total_score FROM mh
+         QUALIFY row_number() OVER (PARTITION BY seq ORDER BY round({_MH_TOTAL}, 9) DESC, cand_id) = 1)""", body=f"""
+SELECT seq, cand_id, array_to_string({_mh_text_sql()}, ' | ') AS recommendations FROM best"""))
+def multi_horizon_recommendations(spark, sf):
+    """texts of the candidate that scores best over all horizons."""
+    reg = _registry(spark, sf).filter(F.col("model") == "logged").select("horizon", "r2").collect()  # 4 rows
+    r2 = {row["horizon"]: F.lit(row["r2"]) for row in reg}
+    s = S.multi_horizon_score(kfin(spark, sf), r2).withColumn("total_score", F.round("total_score", 9))
+    b = s.groupBy("seq").agg(F.max_by(F.struct("kex", "sipx", "cand_id", "cand_kex", "cand_sipx", "predicted_grade", "total_score"),
+                                      F.struct("total_score", -F.col("cand_id"))).alias("b")).select("seq", "b.*")
+    texts = RC.multi_horizon_messages(
+        F.col("total_score"), {h: (F.col("predicted_grade"), r2[h]) for h in S.MULTI_HORIZONS},
+        F.coalesce("kex", F.lit(60.0)), F.coalesce("sipx", F.lit(30.0)), F.col("cand_kex"), F.col("cand_sipx"))
+    return b.select("seq", "cand_id", F.array_join(texts, " | ").alias("recommendations"))
+
+
 _EXP = " UNION ALL ".join(
     f"SELECT seq, '{label}' AS Parameter, coalesce({c}, 0.0) AS Value, '{unit}' AS Unit, ts AS Timestamp FROM kfin"
     for c, label, unit in SK.EXPORT_ROWS)

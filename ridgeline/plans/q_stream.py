@@ -14,7 +14,7 @@ from ridgeline.plans.q_clean import PREDS
 from ridgeline.plans.q_joins import ACTES, FIN, KFIN
 from ridgeline.plans.q_predictions import r6
 from ridgeline.plans.registry import ORACLE
-from ridgeline.plans.q_scenario import _svc_sql
+from ridgeline.plans.q_scenario import svc_sql
 from ridgeline.plans.registry import query
 from ridgeline.streaming import live as L
 
@@ -27,7 +27,7 @@ SELECT seq, asset_id, ts, round(grade, 6) AS grade, round(recovery, 6) AS recove
        round({O.rhu('''greatest(0.7, least(0.98, 0.85 + CASE WHEN coalesce(kex, 45.0) BETWEEN 30 AND 60 THEN 0.05 ELSE 0.0 END
              + CASE WHEN coalesce(sipx, 25.0) BETWEEN 15 AND 40 THEN 0.05 ELSE 0.0 END
              + CASE WHEN coalesce(air_flow, 150.0) BETWEEN 100 AND 200 THEN 0.03 ELSE 0.0 END + 0.02))''', 3)}, 6) AS confidence,
-       array_to_string({_svc_sql()}, ' | ') AS recommendations FROM kfin"""))
+       array_to_string({svc_sql()}, ' | ') AS recommendations FROM kfin"""))
 def st_enrich(spark, sf):
     out = L.run_to_parquet(L.enrich(L.live_readings(spark, sf)), "enrich")
     return r6(spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz")))

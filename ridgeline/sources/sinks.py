@@ -1,4 +1,5 @@
-"""Sinks and exports (S5-S8) and the monthly-file scan.
+"""Sinks and exports (S5-S8) and the monthly-file scan (S1, S4).  The layouts
+of the append tables are in ``layouts.py``.
 
 Writes go to parquet/CSV with Spark's writers: partitioned by day for the
 append tables so retention (P10) and time-range reads prune whole folders.
@@ -6,6 +7,7 @@ append tables so retention (P10) and time-range reads prune whole folders.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -21,21 +23,28 @@ from ridgeline.session import reliable_checkpoint
 # Long export rows: (column, parameter label, unit), in this order.
 EXPORT_ROWS = [("grade", "Pb Concentrate", "%"), ("kex", "KEX Flowrate", "L/min"), ("sipx", "SIPX Flowrate", "L/min"),
                ("air_flow", "Air Flow", "m³/min"), ("level", "Level", "%"), ("feed_pb", "Feed Pb", "%")]
-# Append-table defaults: model confidence 0.85, optimisation confidence 0.8,
-# external change flag false.
-DEFAULT_MODEL_CONFIDENCE, DEFAULT_OPT_CONFIDENCE = 0.85, 0.8
 # ---------------------------------------------------------------------------
 
 
 def scan_monthly(spark: SparkSession, directory: str, tag: str = "", schema=None) -> DataFrame:
-    """Every parquet file whose name contains ``tag``, columns merged by
-    name (missing -> null); ``source_file`` keeps the file name so callers can
-    order or deduplicate by it (name order = month order)."""
-    r = spark.read.option("pathGlobFilter", f"*{tag}*.parquet").option("mergeSchema", "true")
+    """The files, or folders of part files, in ``directory`` whose name
+    contains ``tag`` and ends in ``.parquet`` (in any case of its letters),
+    columns merged by name (missing -> null).  ``source_file`` is that name
+    and ``file_no`` its place in name order, from 0 (names are months, so name
+    order is month order)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    names = sorted(n for n in (f.getPath().getName() for f in listed) if tag in n and n.lower().endswith(".parquet"))
+    if not names:
+        raise FileNotFoundError(f"no parquet file named *{tag}* in {directory}")
+    r = spark.read.option("mergeSchema", "true")
     if schema is not None:
         r = r.schema(schema)
-    df = r.parquet(directory)
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
+    df = r.parquet(*[os.path.join(directory, n) for n in names])
+    steps = F.split(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "/")
+    file = F.element_at(F.filter(steps, lambda s: s.isin(names)), -1)
+    return df.select("*", file.alias("source_file")).withColumn(
+        "file_no", F.array_position(F.array(*map(F.lit, names)), F.col("source_file")).cast("int") - 1)
 
 
 def read_training_set(spark: SparkSession, path: str, target: str) -> DataFrame:
@@ -61,8 +70,9 @@ def sink_parquet(df: DataFrame, path: str, overwrite: bool = False, partition_by
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV export with a header (one folder of part files)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV export with a header (one folder of part files); times keep
+    their microseconds."""
+    df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
 
 
 def export_long(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ("seq",)) -> DataFrame:
@@ -75,43 +85,20 @@ def export_long(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ("seq",)) -
     return df.select(*keys, stacked, F.col(ts).alias("Timestamp"))
 
 
-def to_sensor_table(df: DataFrame) -> DataFrame:
-    """Rename to the sensor-table layout plus a ``dt`` partition column."""
-    return df.select(F.col("ts").alias("timestamp"), F.col("feed_pb").alias("Feed_Pb"),
-                     F.col("kex").alias("Pb_Conditioner_KEX_Flowrate"), F.col("sipx").alias("Pb_Rougher1_SIPX_Flowrate"),
-                     F.col("air_flow").alias("Pb_Rougher1_AirFlow"), F.col("level").alias("Pb_Rougher1_Level"),
-                     F.to_date("ts").alias("dt"))
-
-
-def to_calculated_table(df: DataFrame) -> DataFrame:
-    """Calculated values with default confidence."""
-    return df.select(F.col("ts").alias("timestamp"), F.col("grade").alias("Predicted_Pb_Concentrate"),
-                     F.col("grade").alias("Actual_Pb_Concentrate"), F.col("recovery").alias("Predicted_Pb_Recovery"),
-                     F.col("recovery").alias("Actual_Pb_Recovery"), F.col("status").alias("Process_Status"),
-                     F.coalesce(F.col("confidence") if "confidence" in df.columns else F.lit(None).cast("double"),
-                                F.lit(DEFAULT_MODEL_CONFIDENCE)).alias("model_confidence"),
-                     F.to_date("ts").alias("dt"))
-
-
-def to_optimization_table(df: DataFrame) -> DataFrame:
-    """Optimisation rows; recommendations stored as JSON text (F16)."""
-    return df.select(F.col("ts").alias("timestamp"), F.col("current_kex"), F.col("current_sipx"),
-                     F.col("optimal_kex").alias("recommended_kex"), F.col("optimal_sipx").alias("recommended_sipx"),
-                     F.lit(DEFAULT_OPT_CONFIDENCE).alias("optimization_confidence"),
-                     F.to_json(F.col("msgs")).alias("recommendations"),
-                     F.coalesce(F.col("external_change") if "external_change" in df.columns else F.lit(None).cast("boolean"),
-                                F.lit(False)).alias("external_factors_changed"),
-                     F.to_date("ts").alias("dt"))
-
-
 def append_table(df: DataFrame, path: str) -> None:
-    """Append partitioned by day (stream: call from foreachBatch)."""
+    """Append partitioned by day (a stream stores its epochs with
+    ``layouts.append_epoch``)."""
     df.write.mode("append").partitionBy("dt").parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str) -> None:
     """P10 write-back: replace only the partitions present in ``df``."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path))
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_folders(df)).parquet(path))
+
+
+def _folders(df: DataFrame) -> list[str]:
+    """Partition columns of an append table: its day, and its epoch if it has one."""
+    return [c for c in ("dt", "epoch") if c in df.columns]
 
 
 def apply_retention(spark: SparkSession, path: str, cutoff: datetime, ts: str = "timestamp") -> None:
@@ -119,20 +106,26 @@ def apply_retention(spark: SparkSession, path: str, cutoff: datetime, ts: str =
 
     Day folders that are wholly expired are dropped without reading them; only
     the day of the cut-off is rewritten, from a checkpoint in the shared
-    folder.  Rows without a timestamp stay.  Running it again changes nothing.
+    folder, and those of its epochs that keep nothing are dropped.  Rows
+    without a timestamp stay.  Running it again changes nothing, nor does it
+    on a table without rows.
     """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    days = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt=*")
+    if not days.getFileSystem(hadoop).globStatus(days):
+        return
     edge, when = F.lit(cutoff.date()), F.lit(cutoff).cast("timestamp_ntz")
     table = spark.read.parquet(path)
-    expired = [r.dt for r in table.filter(F.col("dt") < edge).select("dt").distinct().collect()]  # one value per day folder
+    keys = _folders(table)
+    expired = [f"dt={r.dt}" for r in table.filter(F.col("dt") < edge).select("dt").distinct().collect()]  # one value per day folder
     day = table.filter(F.col("dt") == edge)
     if not day.filter(F.col(ts) < when).isEmpty():
         kept = reliable_checkpoint(retain(day, when, ts))
-        if kept.isEmpty():
-            expired.append(cutoff.date())
-        else:
+        gone = day.select(*keys).distinct().join(kept.select(*keys).distinct(), keys, "left_anti").collect()  # one row per folder of the day
+        if not kept.isEmpty():
             overwrite_partitions(kept, path)
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for dt in expired:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={dt}")
+        expired += ["/".join(f"{k}={r[k]}" for k in keys) for r in gone]
+    for part in expired:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
         folder.getFileSystem(hadoop).delete(folder, True)
     spark.catalog.refreshByPath(path)

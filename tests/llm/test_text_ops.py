@@ -4,10 +4,13 @@ import hashlib
 import itertools
 import random
 import re
+import time
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.llm import exact_dedup, graph, jaccard, pii, secrets, sharding, toxicity
 
@@ -200,7 +203,6 @@ def test_pii_base(spark, edge_rows, no_docs):
 
 
 def test_pii_terms(spark):
-    from pyspark.sql import functions as F
     rng = random.Random(1)
     word = lambda: rng.choice("lorem ipsum dolor sit amet elit sed do".split())
     rows = [(i, " ".join([*(word() for _ in range(20)), *(["Quillon", "joe@example.com"] if i < 12 else []), *(word() for _ in range(20))])) for i in range(300)]
@@ -217,7 +219,6 @@ def test_pii_terms(spark):
 
 def test_pii_terms_in_any_form(spark):
     """Forms of a word count together and all go; identifiers count; three words are three words, however long."""
-    from pyspark.sql import functions as F
     rng = random.Random(2)
     word = lambda: rng.choice("lorem ipsum dolor sit amet elit sed do".split())
     long = ["loremipsumdolorsitamet" * 2, "consecteturadipiscing" * 2]
@@ -255,12 +256,53 @@ def test_segments_equal_the_definition():
     for _ in range(200):
         hits = {i: rng.choice((1.0, 2.5, 4.0)) + rng.random() / 100 for i in range(25) if rng.random() < 0.3}
         gap = -0.7371
-        got = toxicity.segments(sorted(hits.items()), gap)
+        got = toxicity.segments([hits.get(i, gap) for i in range(25)])
         want = brute_segments([hits.get(i, gap) for i in range(25)])
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
         assert np.allclose([x for *_, x in got], [x for *_, x in want])
 
 
+def test_segments_of_mixed_scores_and_time():
+    rng = random.Random(5)
+    for _ in range(100):
+        scores = [rng.uniform(-2, 1.5) for _ in range(25)]
+        got, want = toxicity.segments(scores), brute_segments(scores)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    seconds = []
+    for n in (20_000, 200_000):  # hits that never merge: each stays a candidate
+        began = time.perf_counter()
+        assert len(toxicity.segments([1.0, -1.5] * n)) == n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 40 * seconds[0]  # ten times the hits, far from a hundred times the seconds
+
+
+def test_toxicity_weights_by_hand():
+    got = toxicity._weights([("vil", 6, 2), ("vile ", 5, 0), ("ok ", 0, 30)], 20, 80)
+    logit = lambda p: np.log(p / (1 - p))
+    vil = (6 + 20 * 0.2) / 28
+    want = {"vil": vil, "vile ": (5 + 20 * vil) / 25, "ok ": 20 * 0.2 / 50}
+    assert got.keys() == want.keys() and all(np.isclose(got[f], logit(p) - logit(0.2)) for f, p in want.items())
+    assert got["ok "] < 0 < got["vil"] < got["vile "]
+    model = toxicity.Model(got)
+    assert model.weight("(vilest!)") == got["vil"] - toxicity.COST and model.weight("42") == model.weight("unseen") == -toxicity.COST
+    assert toxicity.tokens_of("Ab c\u6f22\u5b57\u8a9e, d") == ["ab", "c\u6f22", "\u6f22\u5b57", "\u5b57\u8a9e", "d"]
+
+
+def test_labelled_rows_are_bounded_and_distinct_texts_stay(spark):
+    label = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.range(3000).select(F.lit(label).cast("bigint").alias("doc_id"), F.concat(F.lit("text number "), F.col("id"), F.lit(" of one id")).alias("text"))
+    assert toxicity._labelled(docs, spark.createDataFrame([(label, 1)], "doc_id bigint, toxic int"), 40).count() <= 40
+    shared = "these are the very words that many documents share among them"
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5][:60]
+    rng = random.Random(8)
+    made = {i: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200)) for i in ids}
+    own = made.__getitem__
+    rows = [(i, f"{shared} {own(i)}") for i in ids] + [(i, f"{shared} {own(ids[0])} end") for i in ids[:2]]
+    marks = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id bigint, toxic int")
+    kept = toxicity._labelled(spark.createDataFrame(rows, "doc_id bigint, text string"), marks, 1000)
+    assert kept.count() == 61  # the near copy of the first text goes under its label and stays under the other
+
+
 def test_toxicity(spark, edge_docs, no_docs):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 6)))

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
-from ridgeline.plans.halo import fill_forward
+from ridgeline.plans.halo import epoch_micros, fill_forward
 
 # --- fixed values that must equal the reference's ---------------------------
 DRIFT_THRESHOLD = 0.15          # relative change of mean that counts as drift
@@ -82,11 +83,18 @@ def accuracy_by(df: DataFrame, keys: Sequence[str], actual: str = "actual", pred
 def due_pairs(preds: DataFrame, actuals: DataFrame, minutes: int = 5) -> DataFrame:
     """Each actual (asset_id, ts, actual) with the asset's predictions that fell
     due in the ``minutes`` before it: target_ts <= ts < target_ts + minutes.
-    An interval join, for tables and for streams with watermarks alike."""
-    a = actuals.select(F.col("asset_id").alias("_asset"), F.col("ts").alias("actual_ts"), "actual")
-    due = ((F.col("asset_id") == F.col("_asset")) & (F.col("actual_ts") >= F.col("target_ts"))
+    An interval join, for tables and for streams with watermarks alike.  Rows
+    meet by asset and time bucket of that length: an actual lies in the bucket
+    of target_ts or in the next one, so a row is compared with those of two
+    buckets, never with all of its asset."""
+    wall = all(isinstance(d.schema[c].dataType, TimestampNTZType) for d, c in ((preds, "target_ts"), (actuals, "ts")))
+    micros = epoch_micros if wall else (lambda c: F.unix_micros(F.col(c).cast("timestamp")))
+    bucket = lambda c: F.floor(micros(c) / F.lit(minutes * 60_000_000))
+    a = actuals.select(F.col("asset_id").alias("_asset"), F.col("ts").alias("actual_ts"), "actual", bucket("ts").alias("_in"))
+    p = preds.withColumn("_from", bucket("target_ts")).withColumn("_bucket", F.explode(F.array("_from", F.col("_from") + 1)))
+    due = ((F.col("asset_id") == F.col("_asset")) & (F.col("_bucket") == F.col("_in")) & (F.col("actual_ts") >= F.col("target_ts"))
            & (F.col("actual_ts") < F.col("target_ts") + F.expr(f"INTERVAL {minutes} MINUTES")))
-    return preds.join(a, due).drop("_asset")
+    return p.join(a, due).drop("_asset", "_from", "_bucket", "_in")
 
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], y: str = "actual", p: str = "prediction") -> DataFrame:

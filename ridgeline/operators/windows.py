@@ -23,6 +23,26 @@ def _frame(w, lo: int, hi: int = 0):
     return w.rowsBetween(lo, hi)
 
 
+class RangeFrames:
+    """Stands for the window of ``halo.time_windowed``: notes the range frames
+    that builders ask for, as (function, column, from, to) in microseconds
+    around a row's time; each becomes a column of its own."""
+
+    def __init__(self):
+        self.asked: dict[tuple, str] = {}
+
+    def over(self, fn: str, c: str | None, lo: int, hi: int) -> Column:
+        return F.col(self.asked.setdefault((fn, c, lo, hi), f"_frame{len(self.asked)}"))
+
+
+def _over_range(w_us, fn: str, c: str | None, lo: int, hi: int) -> Column:
+    """count, first or last of the rows whose time lies in [t + lo, t + hi]."""
+    if isinstance(w_us, RangeFrames):
+        return w_us.over(fn, c, lo, hi)
+    of = {"count": lambda: F.count(F.lit(1)), "first": lambda: F.first(c), "last": lambda: F.last(c)}[fn]()
+    return of.over(w_us.rangeBetween(lo, hi))
+
+
 def lag_rows(w, cols: Sequence[str], lags: Sequence[int] = (1, 2, 3, 4, 5)) -> list[Column]:
     """``{c}_lag_{k}``."""
     return [F.lag(c, k).over(w).alias(f"{c}_lag_{k}") for c in cols for k in lags]
@@ -209,8 +229,7 @@ def time_lags(w_us, cols: Sequence[str], minutes: Sequence[int] = (5, 15, 30, 60
     out = []
     for c in cols:
         for m in minutes:
-            fr = w_us.rangeBetween(-m * 60_000_000, -1)
-            v = F.last(c).over(fr) if m in latest_minutes else F.first(c).over(fr)
+            v = _over_range(w_us, "last" if m in latest_minutes else "first", c, -m * 60_000_000, -1)
             v = F.coalesce(v, F.col(c))
             if few_history is not None:
                 v = F.when(few_history, F.col(c)).otherwise(v)
@@ -220,13 +239,13 @@ def time_lags(w_us, cols: Sequence[str], minutes: Sequence[int] = (5, 15, 30, 60
 
 def irregular_targets(w_us, c: str, horizons: Sequence[int] = (5, 15, 30, 60), tol_minutes: int = 5) -> list[Column]:
     """W17 (irregular data): first value in [t + h, t + h + tol] minutes."""
-    return [F.first(c).over(w_us.rangeBetween(h * 60_000_000, (h + tol_minutes) * 60_000_000))
+    return [_over_range(w_us, "first", c, h * 60_000_000, (h + tol_minutes) * 60_000_000)
             .alias(f"{c}_{h}min_ahead") for h in horizons]
 
 
 def burst_count(w_us, seconds: int = 60, threshold: int = 300) -> list[Column]:
     """Rows of the key in the trailing ``seconds`` (inclusive) and breach flag."""
-    n = F.count(F.lit(1)).over(w_us.rangeBetween(-seconds * 1_000_000, 0))
+    n = _over_range(w_us, "count", None, -seconds * 1_000_000, 0)
     return [n.alias("n_window"), (n >= threshold).alias("breach")]
 
 

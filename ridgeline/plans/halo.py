@@ -18,16 +18,24 @@ short when an executor is lost.
 
 Time-range windows use the same idea with time buckets (``time_chunks``):
 rows within ``lookback`` of a bucket's end are copied into the next bucket.
+Their frames are found by binary search in the chunk's sorted times, as a
+sliding range frame of Spark costs every row the whole length of its frame.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ridgeline.session import reliable_checkpoint
+from ridgeline.operators.windows import RangeFrames
+from ridgeline.session import reliable_checkpoint, ship_package
 
 DEFAULT_CHUNK_ROWS = 1 << 20
 _LOW33 = (1 << 33) - 1
@@ -134,22 +142,46 @@ def time_chunks(df_pos: DataFrame, keys: Sequence[str], chunk_rows: int, lookbac
     return d.withColumn("_halo", F.lit(False)).unionByName(halo)
 
 
+def range_frames(chunk: pa.Table, asked: dict[tuple, str], order: Sequence[str]) -> pa.Table:
+    """The rows of one (key, chunk) that are no halo copies, with a column for
+    every frame that is ``asked`` for.  Rows without a time are each other's frame."""
+    chunk = chunk.take(pc.sort_indices(chunk, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+    own = np.flatnonzero(~chunk["_halo"].to_numpy())
+    untimed, us = chunk["_us"].null_count, chunk["_us"].combine_chunks().drop_null().to_numpy()
+    at, out = us[np.maximum(own - untimed, 0)] if len(us) else np.zeros(len(own), np.int64), chunk.take(pa.array(own))
+    for (fn, c, lo, hi), name in asked.items():
+        start = np.where(own < untimed, 0, untimed + np.searchsorted(us, at + lo, "left"))
+        end = np.where(own < untimed, untimed, untimed + np.searchsorted(us, at + hi, "right"))
+        row = start if fn == "first" else end - 1
+        out = out.append_column(name, pa.array(end - start, pa.int64()) if fn == "count" else chunk[c].take(pa.array(row, mask=start >= end)))
+    return out
+
+
 def time_windowed(df: DataFrame, keys: Sequence[str], ts: str, build: Callable[[object], list[Column]],
                   lookback_seconds: int, lookahead_seconds: int = 0, chunk_rows: int = DEFAULT_CHUNK_ROWS,
                   tiebreak: Sequence[str] = (), partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
     """Range-frame window features per key, evaluated per chunk with a time halo.
 
-    ``build(w)`` gets a spec partitioned by (keys, chunk) ordered by the
-    microsecond epoch ``_us`` (range frames in microseconds) and returns named
-    Columns.  A task holds ``chunk_rows`` rows of one key and what their frames
-    reach, never a whole key or day.
+    ``build(w)`` gets the ``RangeFrames`` of a window by key, ordered by the
+    microsecond epoch, and returns named Columns.  A task holds ``chunk_rows``
+    rows of one key and what their frames reach, never a whole key or day, and
+    finds a frame in time that doesn't depend on how many rows it covers.
     """
     base_cols = df.columns
     pos = global_positions(df.withColumn("_us", epoch_micros(ts)), keys, ["_us", *tiebreak], partitions, checkpoint)
     u = time_chunks(pos, keys, chunk_rows, lookback_seconds, lookahead_seconds)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_us", *tiebreak)
-    return (u.select(*base_cols, "_halo", *build(w))
-             .filter(~F.col("_halo")).drop("_halo"))
+    frames = RangeFrames()
+    built, asked, order = build(frames), frames.asked, ["_us", *tiebreak]
+    names = list(dict.fromkeys([*base_cols, *order]))
+    made = [StructField(n, LongType() if fn == "count" else df.schema[c].dataType) for (fn, c, _, _), n in asked.items()]
+    schema = StructType([*(u.schema[c] for c in base_cols), *made])
+    ship_package(df.sparkSession)
+
+    def run(chunk: pa.Table) -> pa.Table:
+        return range_frames(chunk, asked, order).select(schema.names)
+
+    return (u.select(*keys, "_chunk", "_halo", *[c for c in names if c not in keys])
+             .groupBy(*keys, "_chunk").applyInArrow(run, schema).select(*base_cols, *built))
 
 
 def epoch_micros(ts: str | Column) -> Column:

@@ -86,15 +86,16 @@ def due_pairs(preds: DataFrame, actuals: DataFrame, minutes: int = 5) -> DataFra
     An interval join, for tables and for streams with watermarks alike.  Rows
     meet by asset and time bucket of that length: an actual lies in the bucket
     of target_ts or in the next one, so a row is compared with those of two
-    buckets, never with all of its asset."""
+    buckets, never with all of its asset; an actual, of which there are fewer,
+    goes to both."""
     wall = all(isinstance(d.schema[c].dataType, TimestampNTZType) for d, c in ((preds, "target_ts"), (actuals, "ts")))
     micros = epoch_micros if wall else (lambda c: F.unix_micros(F.col(c).cast("timestamp")))
     bucket = lambda c: F.floor(micros(c) / F.lit(minutes * 60_000_000))
-    a = actuals.select(F.col("asset_id").alias("_asset"), F.col("ts").alias("actual_ts"), "actual", bucket("ts").alias("_in"))
-    p = preds.withColumn("_from", bucket("target_ts")).withColumn("_bucket", F.explode(F.array("_from", F.col("_from") + 1)))
+    a = actuals.select(F.col("asset_id").alias("_asset"), F.col("ts").alias("actual_ts"), "actual", F.explode(F.array(bucket("ts"), bucket("ts") - 1)).alias("_in"))
+    p = preds.withColumn("_bucket", bucket("target_ts"))
     due = ((F.col("asset_id") == F.col("_asset")) & (F.col("_bucket") == F.col("_in")) & (F.col("actual_ts") >= F.col("target_ts"))
            & (F.col("actual_ts") < F.col("target_ts") + F.expr(f"INTERVAL {minutes} MINUTES")))
-    return p.join(a, due).drop("_asset", "_from", "_bucket", "_in")
+    return p.join(a, due).drop("_asset", "_bucket", "_in")
 
 
 def regression_metrics(df: DataFrame, keys: Sequence[str], y: str = "actual", p: str = "prediction") -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -175,30 +176,52 @@ def drift_table(spark: SparkSession, folder: str) -> DataFrame:
     return PR.merged_drift(spark.read.parquet(f"{folder}/drift"))
 
 
-def validated(readings: DataFrame, minutes: int = 5, delay: str = "10 minutes") -> DataFrame:
-    """ST6: predictions joined with the actual grades that arrive when they
-    fall due (stream-stream interval join).  Watermarks on target_ts and ts
-    bound the state: a prediction is kept until its horizon, ``minutes`` and
-    ``delay`` have passed, an actual until no earlier prediction can arrive."""
-    preds = T.preds(readings).withWatermark("target_ts", delay)
-    actuals = readings.select("asset_id", "ts", P.grade_estimate().alias("actual")).withWatermark("ts", delay)
-    pairs = PR.due_pairs(preds.drop("ts"), actuals, minutes)
+def validated(batch: DataFrame, epoch: int, folder: str, minutes: int = 5, delay: int = 10) -> DataFrame:
+    """ST6, one micro-batch: predictions joined with the actual grades that
+    arrive when they fall due (interval join), where one of the two is new.
+
+    The batch and the readings carried from earlier ones meet in a merge join
+    of the batch engine, which deals out by time and spills; a stream-stream
+    join holds its state in memory and steps through it row by row.  As with a watermark ``delay``
+    minutes behind, a prediction or actual whose time lies behind the newest
+    reading of the epochs before the last is late and left out, and a reading
+    is carried until its longest horizon, ``minutes`` and ``delay`` have passed.
+    State alternates between two folders, so a batch that is run again reads
+    what it read before."""
+    spark, old, now = batch.sparkSession, f"{folder}/state/{(epoch - 1) % 2}", f"{folder}/state/{epoch % 2}"
+    newest, before = (0, 0) if epoch == 0 else spark.read.parquet(f"{old}/newest").first()
+    mark = lambda ms: F.timestamp_millis(F.lit(max(0, ms - delay * 60_000)))
+    batch.withColumn("_late", mark(before)).write.mode("overwrite").parquet(f"{now}/new")  # the feed is parsed once
+    parts = [spark.read.parquet(f"{now}/new")]
+    seen = parts[0].agg(F.max(F.unix_millis("ts"))).first()[0]
+    spark.range(1).select(F.lit(max(newest, seen or 0)).cast("long").alias("newest"), F.lit(newest).cast("long").alias("before")).write.mode("overwrite").parquet(f"{now}/newest")
+    if epoch:
+        reach = F.make_dt_interval(mins=F.lit(max(T.HORIZONS) + minutes))
+        kept = [spark.read.parquet(f"{old}/{x}") for x in ("new", "carried")[:epoch]]
+        reduce(DataFrame.unionByName, kept).filter(F.col("ts") > mark(before) - reach).write.mode("overwrite").parquet(f"{now}/carried")
+        parts.append(spark.read.parquet(f"{now}/carried"))
+    preds = [T.preds(r, ("_late",)).filter(F.col("target_ts") > F.col("_late")).drop("ts", "_late").hint("merge") for r in parts]
+    actuals = [r.filter(F.col("ts") > F.col("_late")).select("asset_id", "ts", P.grade_estimate().alias("actual")) for r in parts]
+    pairs = PR.due_pairs(preds[0], reduce(DataFrame.unionByName, actuals), minutes)
+    if epoch:
+        pairs = pairs.unionByName(PR.due_pairs(preds[1], actuals[0], minutes))
     return pairs.select("seq", "asset_id", "horizon", "target_ts", "actual_ts", "prediction", "actual")
 
 
 def accuracy_epoch(pairs: DataFrame, epoch: int, folder: str) -> None:
     """ST6, one micro-batch of validated predictions: pairs and accuracy sums
-    (A14) of this epoch.  A batch that is run again replaces both."""
-    pairs = pairs.persist()
-    pairs.write.mode("overwrite").parquet(f"{folder}/pairs/epoch={epoch}")
-    PR.accuracy_parts(pairs, ["horizon"]).write.mode("overwrite").parquet(f"{folder}/accuracy/epoch={epoch}")
-    pairs.unpersist()
+    (A14) of this epoch.  A batch that is run again replaces both.  The sums
+    are taken from the written pairs, so these are made once and not cached;
+    the pairs of a prediction stand together, which zstd packs best."""
+    path = f"{folder}/pairs/epoch={epoch}"
+    pairs.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    PR.accuracy_parts(pairs.sparkSession.read.schema(pairs.schema).parquet(path), ["horizon"]).write.mode("overwrite").parquet(f"{folder}/accuracy/epoch={epoch}")
 
 
 def accuracy_monitor(readings: DataFrame, name: str = "accuracy") -> str:
     """ST6: validated pairs and accuracy sums, one part per epoch; returns their folder."""
     folder = scratch(readings.sparkSession, name)
-    _epochs(validated(readings), lambda batch, epoch: accuracy_epoch(batch, epoch, folder), folder)
+    _epochs(readings, lambda batch, epoch: accuracy_epoch(validated(batch, epoch, folder), epoch, folder), folder)
     return folder
 
 
